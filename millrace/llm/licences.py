@@ -117,7 +117,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
 
     units = F.array_distinct(F.concat(F.split(lower, "\n"), F.split(lower, "\n\n+"), F.array(lower)))
     words = lambda u: F.array_remove(F.split(F.regexp_replace(u, r"[^\p{L}\p{N}]+", " "), " "), "")
-    found = F.filter(F.transform(units, lambda u: let(_bigrams(words(u)), best)), lambda x: x.isNotNull())
+    found = F.filter(F.transform(units, lambda u: let(words(u), lambda w: let(_bigrams(w), best))), lambda x: x.isNotNull())
     none = F.array().cast("array<struct<dice:double,name:string>>")
     hits = docs.select("doc_id", F.when(may, found).otherwise(none).alias("found"))
     top = F.aggregate(
