@@ -56,7 +56,7 @@ def stems(templates: dict[str, str], t: float = THRESHOLD) -> list[str]:
     """Strings of which every text with a match holds at least one: for each template they cover |B| - least + 1 bigrams."""
     sets = {name: bigrams_of(x) for name, x in templates.items()}
     need = {name: len(b) - least_and_most(len(b), t)[0] + 1 for name, b in sets.items()}
-    words = sorted({w for x in templates.values() for w in normalised(x) if len(w) >= 3}, key=lambda w: (-len(w), w))
+    words = sorted({w for x in templates.values() for w in normalised(x) if len(w) >= 2}, key=lambda w: (-len(w), w))
     chosen: list[str] = []
 
     def gain(word: str) -> int:
