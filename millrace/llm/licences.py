@@ -99,32 +99,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
     def best(grams: Column) -> Column:
         """The largest (dice, name) of a unit, by name upwards on ties, or null."""
         scores = []
-        for name, b in sorted(sets.items()):
+        for k, (name, b) in enumerate(sorted(sets.items())):
             low, high = least_and_most(len(b), t)
             shared = F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in b])))
             dice = 2.0 * shared / (F.size(grams) + len(b))
             scores.append(
                 F.when(
                     F.size(grams).between(low, high),
-                    let(dice, lambda d, n=name: F.when(d >= t, F.struct(d.alias("dice"), F.lit(n).alias("name")))),
+                    let(dice, lambda d, k=k, n=name: F.when(d >= t, F.struct(d.alias("dice"), F.lit(-k).alias("rank"), F.lit(n).alias("name")))),
                 )
             )
-        return F.aggregate(
-            F.array_compact(F.array(*scores)),
-            F.lit(None).cast("struct<dice:double,name:string>"),
-            lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a),
-        )
+        return F.array_max(F.array(*scores))
 
     units = F.array_distinct(F.concat(F.split(lower, "\n"), F.split(lower, "\n\n+"), F.array(lower)))
     words = lambda u: F.array_remove(F.split(F.regexp_replace(u, r"[^\p{L}\p{N}]+", " "), " "), "")
     found = F.filter(F.transform(units, lambda u: let(words(u), lambda w: let(_bigrams(w), best))), lambda x: x.isNotNull())
-    none = F.array().cast("array<struct<dice:double,name:string>>")
+    none = F.array().cast("array<struct<dice:double,rank:int,name:string>>")
     hits = docs.select("doc_id", F.when(may, found).otherwise(none).alias("found"))
-    top = F.aggregate(
-        F.array_sort("found", lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)),
-        F.lit(None).cast("struct<dice:double,name:string>"),
-        lambda a, x: F.when(a.isNull() | (x["dice"] > a["dice"]), x).otherwise(a),
-    )
+    top = F.array_max("found")
     return hits.select(
         "doc_id",
         F.size("found").cast("long").alias("n_units"),
