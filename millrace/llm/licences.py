@@ -96,6 +96,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
     for s in stems(templates, t):
         may = F.contains(lower, F.lit(s)) if may is None else may | F.contains(lower, F.lit(s))
 
+    def scored(k: int, name: str):
+        return lambda d: F.when(d >= t, F.struct(d.alias("dice"), F.lit(-k).alias("rank"), F.lit(name).alias("name")))
+
     def best(grams: Column) -> Column:
         """The largest (dice, name) of a unit, by name upwards on ties, or null."""
         scores = []
@@ -106,7 +109,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
             scores.append(
                 F.when(
                     F.size(grams).between(low, high),
-                    let(dice, lambda d, k=k, n=name: F.when(d >= t, F.struct(d.alias("dice"), F.lit(-k).alias("rank"), F.lit(n).alias("name")))),
+                    let(dice, scored(k, name)),
                 )
             )
         return F.array_max(F.array(*scores))
