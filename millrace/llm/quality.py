@@ -155,11 +155,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     one by one; an empty table stays empty; extra columns pass through.
     """
     ordered = [r for r, _, _ in rule_order(docs, rules, text)]
-    return (
-        with_words(docs, text)
-        .withColumn("__rejected_by", cascade(ordered, F.col("__text"), F.col("__words")))
-        .drop("__text", "__words")
-    )
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # bound to a name: a filter on the verdict would else split the text anew inside every lambda
+    return docs.withColumn("__rejected_by", let(words_of(whole), lambda w: cascade(ordered, whole, w)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
