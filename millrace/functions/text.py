@@ -9,6 +9,11 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 URL = r"https?://\S+|www\.\S+"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` inside one expression, so that lambdas in ``body`` read it instead of computing it anew."""
+    return F.transform(F.array(value), lambda bound: body(bound))[0]
+
+
 def clean_characters(text: Column) -> Column:
     """Without addresses, links and hashtags; possessives split; only letters, digits, _ and ' remain, spaces collapsed."""
     text = F.regexp_replace(text, EMAIL, "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import reviews as R
+from millrace.plans import topics
 
 LEXICON = {"place": ["there", "on the"], "speech": ["that", "und-der"]}
 EXCLUSIONS = {"place": ["there is"]}
@@ -59,7 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "review_dedup": dedup, "review_cleaned": cleaned, "review_extraction": extraction, "review_complement": complement,
         "status_stats": status_stats, "source_counts": source_counts, "top_words": top_words, "page_text": page_text,
-    }
+    } | topics.queries()
 
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
@@ -93,4 +94,4 @@ SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER
         "page_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''),
   '\s+', ' ', 'g')) AS text FROM pages""",
-    }
+    } | topics.oracle_sql()
