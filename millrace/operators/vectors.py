@@ -77,6 +77,8 @@ def agglomerative(vectors: list[list[float]], least_similarity: float = 0.5) ->
     n = len(vectors)
     if n > MOST_TOPICS:
         raise ValueError(f"more than {MOST_TOPICS} topics")
+    if not n:
+        return []
     v = np.array(vectors, float).reshape(n, -1)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
@@ -91,7 +93,7 @@ def agglomerative(vectors: list[list[float]], least_similarity: float = 0.5) ->
         d[:, i] = d[i]
         d[i, i] = d[j, :] = d[:, j] = np.inf
         of[of == j] = i
-    return [int(x) for x in np.unique(of, return_inverse=True)[1]] if n else []
+    return [int(x) for x in np.unique(of, return_inverse=True)[1]]
 
 
 def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
