@@ -6,7 +6,9 @@ passages or huge benchmarks change only the number of blocks. A document and an
 item that share a seed (a shingle of LEAST words) are tiled: the longest
 matches of unmarked words, found by Karp-Rabin hashing, are marked first, then
 shorter ones down to LEAST words. Marked words of the item over its words are
-the coverage, in whatever order the passages stand.
+the coverage, in whatever order the passages stand. Pairs with too few words
+under shared seeds, in the document or in the item, can't reach COVERAGE and
+aren't tiled.
 """
 
 from __future__ import annotations
@@ -83,6 +85,16 @@ def tiled(item: list, text: list, least: int = LEAST) -> int:
         size = max(least, size // 2)
 
 
+def _seeded(item: list, seeds: set[tuple]) -> int:
+    """Words of ``item``, repeated ones too, that lie under any of ``seeds``: no tiling covers more."""
+    n = end = 0
+    for i, s in enumerate(zip(*[item[i:] for i in range(LEAST)])):
+        if s in seeds:
+            n += i + LEAST - max(i, end)
+            end = i + LEAST
+    return n
+
+
 class Block:
     """Items of a block with their seeds."""
 
@@ -110,7 +122,9 @@ class Block:
                     cut.append(None)
                 cut += w[max(t, end) : t + LEAST]
                 end = t + LEAST
-            if len({x for x in cut if x is not None}) >= COVERAGE * len(set(item)) and (c := tiled(item, cut)) >= COVERAGE * len(item):
+            # tiles use up words of the text and of the item, and on both sides these lie under seeds
+            least = COVERAGE * len(item)
+            if len(cut) - cut.count(None) >= least and _seeded(item, {tuple(w[t : t + LEAST]) for t in spots}) >= least and (c := tiled(item, cut)) >= least:
                 out.append((key, c, len(item)))
         return out
 

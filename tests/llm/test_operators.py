@@ -79,6 +79,13 @@ def test_decontamination_finds_reordered_passages(spark):
     assert decontamination.leaks(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_finds_parts_that_repeat_words():
+    item = [f"w{i % 26}" for i in range(30)] + [f"v{i}" for i in range(7)]
+    block = decontamination.Block([(7, " ".join(item).encode())])
+    assert block.leaks(" ".join(["before", *item[:30], "after"]).encode()) == [(7, 30, 37)]
+    assert block.leaks(" ".join(item[:29]).encode()) == []
+
+
 def test_token_counts_equal_a_full_count():
     path = P.path("byte_bpe_50k.tiktoken")
     count = token_counts.encoding(path, P.PATTERN)[1]
