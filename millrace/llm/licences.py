@@ -1,6 +1,7 @@
 """Licence scan by Dice coefficient over word bigrams (native: DataFrame functions only).
 
-A text's units are its lines, its paragraphs and the whole of it. A unit whose
+Templates are short notices, whole licence texts and their paragraphs. A text's
+units are its lines, its paragraphs and the whole of it. A unit whose
 set of word bigrams A and a template's set B have 2|A n B| / (|A| + |B|) >= t
 matches. That needs t/(2-t) |B| <= |A| <= (2-t)/t |B|, which prunes templates by
 size, and it needs at least t/(2-t) |B| shared bigrams, so any |B| - that + 1
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,11 @@ from .common import let
 
 THRESHOLD = 0.8
 
+#: Bigrams of a licence text's paragraph that count as a template of its own; fewer are headings.
+LEAST_PARAGRAPH = 20
+
 #: Names and short notices of public licences.
-TEMPLATES = {
+NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -52,22 +57,43 @@ def least_and_most(size: int, t: float = THRESHOLD) -> tuple[int, int]:
     return math.ceil(t / (2 - t) * size - 1e-9), math.floor((2 - t) / t * size + 1e-9)
 
 
+def licence_texts() -> dict[str, str]:
+    """The whole texts beside this file (name-text) and their paragraphs (name-text#number), of equal ones the first."""
+    out, seen = {}, set()
+    for path in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        for k, part in enumerate([text, *re.split(r"\n\s*\n", text)]):
+            grams = tuple(bigrams_of(part))
+            if grams not in seen and (not k or len(grams) >= LEAST_PARAGRAPH):
+                seen.add(grams)
+                out[f"{path.stem}-text" + (f"#{k}" if k else "")] = part
+    return out
+
+
+TEMPLATES = NOTICES | licence_texts()
+
+
 def stems(templates: dict[str, str], t: float = THRESHOLD) -> list[str]:
     """Strings of which every text with a match holds at least one: for each template they cover |B| - least + 1 bigrams."""
-    sets = {name: bigrams_of(x) for name, x in templates.items()}
-    need = {name: len(b) - least_and_most(len(b), t)[0] + 1 for name, b in sets.items()}
-    words = sorted({w for x in templates.values() for w in normalised(x) if len(w) >= 2}, key=lambda w: (-len(w), w))
-    chosen: list[str] = []
-
-    def gain(word: str) -> int:
-        total = 0
-        for name, b in sets.items():
-            had = sum(any(s in g for s in chosen) for g in b)
-            total += min(need[name], had + sum(word in g and not any(s in g for s in chosen) for g in b)) - min(need[name], had)
-        return total * min(len(word), 7)  # longer stems are rarer in prose
+    under: dict[str, dict[str, set[str]]] = {}  # bigrams of each template by their words
+    left, done = {}, {name: set() for name in templates}
+    for name, x in templates.items():
+        b = bigrams_of(x)
+        left[name] = len(b) - least_and_most(len(b), t)[0] + 1 if b else 0
+        for g in b:
+            for w in g.split(" "):
+                under.setdefault(w, {}).setdefault(name, set()).add(g)
+
+    def gain(w: str) -> int:
+        total = sum(min(max(left[name], 0), len(g - done[name])) for name, g in under[w].items())
+        return total * min(len(w), 7)  # longer stems are rarer in prose
 
-    while any(sum(any(s in g for s in chosen) for g in b) < need[n] for n, b in sets.items()):
-        chosen.append(max(words, key=gain))
+    chosen: list[str] = []
+    while any(n > 0 for n in left.values()):
+        chosen.append(max(sorted(under), key=gain))
+        for name, g in under[chosen[-1]].items():
+            left[name] -= len(g - done[name])
+            done[name] |= g
     return chosen
 
 
@@ -89,30 +115,29 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
     nothing (0 units, empty licenses, null best). Ties go to the first name.
     Extra columns are ignored; an empty table gives no rows.
     """
-    sets = {name: bigrams_of(x) for name, x in templates.items()}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lower = F.lower(text)
     may = None
     for s in stems(templates, t):
         may = F.contains(lower, F.lit(s)) if may is None else may | F.contains(lower, F.lit(s))
 
-    def scored(k: int, name: str):
-        return lambda d: F.when(d >= t, F.struct(d.alias("dice"), F.lit(-k).alias("rank"), F.lit(name).alias("name")))
+    rows = []
+    for k, (name, x) in enumerate(sorted(templates.items())):
+        b = bigrams_of(x)
+        low, high = least_and_most(len(b), t)
+        values = {"low": low, "high": high, "rank": -k, "name": name}
+        rows.append(F.struct(*[F.lit(v).alias(n) for n, v in values.items()], F.split(F.lit("\n".join(b)), "\n").alias("b")))
+    known = F.array(*rows)  # folded to one value
+    every = sorted({g for x in templates.values() for g in bigrams_of(x)})
 
     def best(grams: Column) -> Column:
         """The largest (dice, name) of a unit, by name upwards on ties, or null."""
-        scores = []
-        for k, (name, b) in enumerate(sorted(sets.items())):
-            low, high = least_and_most(len(b), t)
-            shared = F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in b])))
-            dice = 2.0 * shared / (F.size(grams) + len(b))
-            scores.append(
-                F.when(
-                    F.size(grams).between(low, high),
-                    let(dice, scored(k, name)),
-                )
-            )
-        return F.array_max(F.array(*scores))
+        fits = F.filter(known, lambda x: F.size(grams).between(x["low"], x["high"]))
+        dice = lambda x: 2.0 * F.size(F.array_intersect(grams, x["b"])) / (F.size(grams) + F.size(x["b"]))
+        scores = F.transform(fits, lambda x: F.struct(dice(x).alias("dice"), x["rank"].alias("rank"), x["name"].alias("name")))
+        top = F.array_max(F.filter(scores, lambda x: x["dice"] >= t))
+        # a match shares t / (2 - t) of the unit's own bigrams too
+        return F.when(F.size(F.filter(grams, lambda g: g.isin(every))) >= t / (2 - t) * F.size(grams) - 1e-9, top)
 
     units = F.array_distinct(F.concat(F.split(lower, "\n"), F.split(lower, "\n\n+"), F.array(lower)))
     words = lambda u: F.array_remove(F.split(F.regexp_replace(u, r"[^\p{L}\p{N}]+", " "), " "), "")
@@ -129,8 +154,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
     )
 
 
-def oracle(templates: dict[str, str] = TEMPLATES, t: float = THRESHOLD) -> str:
-    """The scan without any pruning, as DuckDB SQL."""
+def oracle(templates: dict[str, str] = NOTICES, t: float = THRESHOLD) -> str:
+    """The scan without any pruning, as DuckDB SQL; by default of the notices alone."""
     values = ", ".join(
         "('" + name + "', [" + ", ".join("'" + g.replace("'", "''") + "'" for g in bigrams_of(x)) + "])"
         for name, x in templates.items()

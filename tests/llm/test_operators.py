@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from millrace.llm import bpe, decontamination, pii, simhash, token_counts, toxicity
+from millrace.llm import bpe, decontamination, licences, pii, simhash, token_counts, toxicity
 
 ODD = [None, "", " \n", "one", "two words", "a" * 3000, "x y z " * 2000, "é😀" * 50]
 
@@ -86,6 +86,16 @@ def test_decontamination_finds_parts_that_repeat_words():
     assert block.leaks(" ".join(item[:29]).encode()) == []
 
 
+def test_whole_licence_texts_are_found(spark):
+    texts = {n: x for n, x in licences.licence_texts().items() if "#" not in n}
+    permission = licences.licence_texts()["mit-text"].split("\n\n")[1]
+    docs = frame(spark, [*ODD, *texts.values(), "Copyright (c) 2020 Jane Doe\n\n" + permission])
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert [got[i]["n_units"] for i in range(len(ODD))] == [0] * len(ODD)
+    assert all(name in got[len(ODD) + i]["licenses"].split(",") for i, name in enumerate(texts))
+    assert "mit-text#2" in got[len(got) - 1]["licenses"].split(",") and {"mit-text", "isc-text", "bsd-2-clause-text", "apache-2.0-text", "cc0-1.0-text"} < set(texts)
+
+
 def test_token_counts_equal_a_full_count():
     path = P.path("byte_bpe_50k.tiktoken")
     count = token_counts.encoding(path, P.PATTERN)[1]
