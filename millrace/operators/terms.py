@@ -88,9 +88,12 @@ def _weights(h: np.ndarray, v: np.ndarray, columns: np.ndarray, inner: int) -> n
     return w
 
 
-def nmf(weights: DataFrame, key: str, k: int = 8, rounds: int = 30, inner: int = 20, seed: int = 42) -> tuple[DataFrame, pd.DataFrame]:
+def nmf(weights: DataFrame, key: str, k: int = 8, rounds: int = 30, inner: int = 20, seed: int = 42, keys: DataFrame | None = None) -> tuple[DataFrame, pd.DataFrame]:
     """Topic weights per key (key, topics, dominant_topic) and the topics (term by topic).
 
+    With ``keys`` there is one row for each of its rows: keys without a weight,
+    whose texts hold none of the terms, get zeros and topic 0.
+
     ``weights`` is the long form of ``tfidf`` with bounded ``max_features``: only
     the topics, k by terms, reach the driver; rows are solved anew against them
     in each round and summed per partition.
@@ -127,6 +130,11 @@ def nmf(weights: DataFrame, key: str, k: int = 8, rounds: int = 30, inner: int =
 
     kind = weights.schema[key].dataType.simpleString()
     out = vectors.mapInPandas(final, f"{key} {kind}, topics array<double>, dominant_topic int")
+    if keys is not None:
+        named = out.withColumnRenamed(key, "__key")
+        out = keys.select(key).join(named, F.col(key).eqNullSafe(F.col("__key")), "left").select(
+            key, F.coalesce("topics", F.array_repeat(F.lit(0.0), k)).alias("topics"), F.coalesce("dominant_topic", F.lit(0)).alias("dominant_topic")
+        )
     return out, pd.DataFrame(h.T, index=vocabulary)
 
 

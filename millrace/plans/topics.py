@@ -66,8 +66,9 @@ def class_tfidf(spark, sf_dir):
 
 
 def nmf_topics(spark, sf_dir):
-    weights = terms.tfidf(_documents(spark, sf_dir, 1, 2), "doc_id", "terms", 5, 0.8, 5000)
-    return terms.nmf(weights, "doc_id")[0].select("doc_id", "dominant_topic")
+    docs = _documents(spark, sf_dir, 1, 2)
+    weights = terms.tfidf(docs, "doc_id", "terms", 5, 0.8, 5000)
+    return terms.nmf(weights, "doc_id", keys=docs)[0].select("doc_id", "dominant_topic")
 
 
 def lda_topics(spark, sf_dir):

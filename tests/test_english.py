@@ -61,6 +61,12 @@ def test_terms(spark):
     assert {(r["a"], r["b"]) for r in terms.collocations(rows, "w", 2, 0.1).collect()} == {("red", "cat"), ("blue", "dog")}
 
 
+def test_nmf_keeps_documents_without_terms(spark):
+    rows = spark.createDataFrame([(i, ["red", "cat"] if i % 2 else ["blue", "dog"]) for i in range(12)] + [(12, []), (13, ["rare"]), (None, None)], "id int, w array<string>")
+    got = {r["id"]: r for r in terms.nmf(terms.tfidf(rows, "id", "w", 5, 1.0), "id", 2, 3, keys=rows)[0].collect()}
+    assert set(got) == {*range(14), None} and all(got[i]["topics"] == [0.0, 0.0] and got[i]["dominant_topic"] == 0 for i in (12, 13, None))
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.9, 0.1]), (3, "a", [0.0, 1.0]), (4, "b", [0.0, 0.0])], "id int, g string, v array<double>")
     best = {r["id"]: (r["topic"], r["score"]) for r in vectors.assign_best(rows, "v", [("x", [1, 0]), ("y", [0, 1])]).collect()}
