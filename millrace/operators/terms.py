@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -138,13 +140,49 @@ def nmf(weights: DataFrame, key: str, k: int = 8, rounds: int = 30, inner: int =
     return out, pd.DataFrame(h.T, index=vocabulary)
 
 
-def lda(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 5000, seed: int = 42) -> DataFrame:
-    """All columns with topics and dominant_topic by Spark's online LDA."""
+def phrases(rows: DataFrame, words: str, min_count: int = 5, threshold: float = 10.0) -> Callable[[Column], Column]:
+    """A function that joins adjacent words scoring over the threshold by an underscore, from the left and without overlap.
+
+    The score is that of ``collocations``, but the vocabulary counts the
+    distinct pairs besides the distinct words, as gensim's Phrases does.
+    """
+    w = F.col(words)
+    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.get(w, i), F.get(w, i + 1))))
+    n_pairs = rows.select(F.explode(pairs).alias("p")).distinct().count()
+    n_words = rows.select(F.explode(w).alias("w")).distinct().count()
+    scale = max(n_words, 1) / max(n_words + n_pairs, 1)
+    held = {(r["a"], r["b"]) for r in collocations(rows, words, min_count, threshold * scale).select("a", "b").collect()}
+    known = rows.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("array<string>")
+    def joined(lists: pd.Series) -> pd.Series:
+        def one(ws):
+            out, i = [], 0
+            ws = [] if ws is None else list(ws)
+            while i < len(ws):
+                n = 2 if tuple(ws[i : i + 2]) in known.value else 1
+                out.append("_".join(ws[i : i + n]))
+                i += n
+            return out
+
+        return lists.map(one)
+
+    return joined
+
+
+def lda(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 2**31 - 1, seed: int = 42) -> DataFrame:
+    """All columns with topics and dominant_topic by Spark's online LDA over words and joined pairs (``phrases``).
+
+    Each of the ``passes`` draws as many documents as there are; Spark draws
+    them with replacement, so a single pass may leave some out.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    counts = CountVectorizer(inputCol=words, outputCol="__counts", vocabSize=vocabulary).fit(rows).transform(rows)
-    model = LDA(k=k, maxIter=passes, seed=seed, featuresCol="__counts", topicDistributionCol="__topics", optimizer="online").fit(counts)
-    out = model.transform(counts).withColumn("topics", vector_to_array("__topics")).drop("__counts", "__topics")
+    held = rows.withColumn("__words", phrases(rows, words)(F.col(words)))
+    counts = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary).fit(held).transform(held).persist()
+    # the default rate would take 5 % of the documents a pass
+    model = LDA(k=k, maxIter=passes, seed=seed, featuresCol="__counts", topicDistributionCol="__topics", optimizer="online", subsamplingRate=1.0).fit(counts)
+    out = model.transform(counts).withColumn("topics", vector_to_array("__topics")).drop("__words", "__counts", "__topics")
     return out.withColumn("dominant_topic", (F.array_position("topics", F.array_max("topics")) - 1).cast("int"))

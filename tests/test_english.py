@@ -67,6 +67,19 @@ def test_nmf_keeps_documents_without_terms(spark):
     assert set(got) == {*range(14), None} and all(got[i]["topics"] == [0.0, 0.0] and got[i]["dominant_topic"] == 0 for i in (12, 13, None))
 
 
+def test_lda_learns_from_all_documents(spark, monkeypatch):
+    from pyspark.ml import clustering
+
+    made, fit = [], clustering.LDA.fit
+    monkeypatch.setattr(clustering.LDA, "fit", lambda self, data: made.append(self) or fit(self, data))
+    texts = [[f"x{i}a", f"x{i}b"] if i % 2 else ["new", "york", "new"] for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(40, []), (41, None)], "id int, w array<string>")
+    got = terms.lda(rows, "w", 2, 3).select("id", "w", "topics").collect()
+    assert made[0].getSubsamplingRate() == 1.0 and made[0].getMaxIter() == 3 and len(got) == 42
+    joined = {r["id"]: r["j"] for r in rows.select("id", terms.phrases(rows, "w", 5, 1.0)(F.col("w")).alias("j")).collect()}
+    assert joined[0] == ["new_york", "new"] and joined[1] == ["x1a", "x1b"] and joined[40] == joined[41] == []
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.9, 0.1]), (3, "a", [0.0, 1.0]), (4, "b", [0.0, 0.0])], "id int, g string, v array<double>")
     best = {r["id"]: (r["topic"], r["score"]) for r in vectors.assign_best(rows, "v", [("x", [1, 0]), ("y", [0, 1])]).collect()}
