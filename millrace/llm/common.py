@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators between words in these operators.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Column of a key that tells rows apart where doc_ids can't.
+ROW = "__row"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read through Spark so that any store works."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, texts_of
+from .common import ROW, materialise, small_slices, texts_of
 
 LEAST, COVERAGE = 5, 0.8
 #: Words of the items in a block.
@@ -142,14 +142,15 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
         yield Block(held)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, item_id, covered, n_words: the items of which a document covers COVERAGE or more.
 
     One row per row of ``docs`` and item. Null and empty texts leak nothing;
     items of fewer than LEAST words are never found; an empty benchmark or
-    table gives no rows; extra columns are ignored.
+    table gives no rows; extra columns are ignored. Column ``key`` of ``docs``
+    is returned as doc_id.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, covered long, n_words long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark):
@@ -165,6 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with their columns as they were."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows that leak no item, with their columns as they were; rows of the same doc_id are judged each by its own text."""
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    bad = leaks(rows, benchmark, ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_slices, texts_of
+from .common import ROW, materialise, small_slices, texts_of
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SEGMENTS, WIDTH = 16, 4
@@ -44,16 +44,18 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed 64 bits) of every row."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, fp (signed 64 bits) of every row, and its key in column ``row`` if one is named."""
+    keys = ["doc_id", *([row] if row else [])]
 
     def run(batches):
         for batch in batches:
             for part in small_slices(batch, "text"):
                 fps = [fingerprint(t) for t in texts_of(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), pa.array(fps, pa.int64())], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def _cells(fp: Column) -> Column:
@@ -136,6 +138,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its columns; of repeated rows one stays."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, with its columns: that of the smallest doc_id (null last), then fingerprint.
+
+    Rows are told apart by a key of their own, so rows of null or repeated
+    doc_ids in other components stay.
+    """
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    held = materialise(fingerprints(rows, ROW))
+    roots = components(links(materialise(held.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    first = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", ROW)).alias("first"))
+    keep = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)

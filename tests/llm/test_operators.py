@@ -56,6 +56,20 @@ def test_simhash_keeps_one(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_stages_judge_rows_of_null_and_repeated_ids(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    texts = ["one two three four five", "red green blue black white", item]
+    docs = spark.createDataFrame([(k, t) for k in (None, 5) for t in (*texts, texts[0])], "doc_id long, text string")
+    other = spark.createDataFrame([(k, t + " more") for k in (None, 5) for t in texts[1:]], "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept) == sorted((5, t) for t in texts)  # copies go, null ids after others
+    nulls = simhash.keep_one(docs.where("doc_id IS NULL"))
+    assert sorted(tuple(r) for r in nulls.collect()) == sorted((None, t) for t in texts) and nulls.columns == docs.columns
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    clean = decontamination.keep_clean(docs.unionByName(other), items)
+    assert clean.columns == docs.columns and sorted(r["text"] for r in clean.collect()) == sorted([texts[0]] * 4 + [texts[1]] * 2 + [texts[1] + " more"] * 2)
+
+
 def test_bpe_equals_tiktoken(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
