@@ -1,43 +1,134 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-A window's code length under the dictionary of ordinary text minus that under
-the dictionary of toxic text says how much better the toxic one explains it. The
-toxic dictionary is trained on words that stand in more toxic training texts than
-chance allows, the ordinary one on stretches of ordinary texts. Every word is a
-window. A document's features are its three largest differences and the number
-of large ones; calibration, each half of the training rows under the other
-half's dictionaries, turns them into a score.
+A text is read as overlapping windows of WORDS words. Each window is compressed
+under a dictionary of ordinary and one of toxic text; the two lengths together
+tell how much better the toxic one explains it. Calibration counts, on texts
+that the dictionaries were not trained on, how often each pair of lengths comes
+from toxic and from ordinary windows; a text's evidence is the likelihood that a
+small share of its windows is toxic, against none, and a logistic curve turns it
+into a score.
+
+Most windows of a toxic text are ordinary, so the toxic dictionary is trained on
+those windows of toxic texts that hold a run of GRAM bytes which toxic texts
+contain more often than chance allows (EXCESS, twice the log likelihood ratio);
+no such run is used for scoring.
 
 Fitting takes at most SAMPLE labelled rows of each class (the smallest hashes of
-their doc_ids); scoring takes every window of every whole text.
+their doc_ids), whole texts, of which rows beyond SAMPLE_BYTES in all are left
+out; scoring takes every window of every whole text.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-from dataclasses import dataclass
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, texts_of
-
-#: Labelled rows of each class that are used for fitting, and their longest text in bytes.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
-#: Standard deviations by which a word of the toxic dictionary's training text exceeds its usual count.
-EXCESS = 3.0
-DICT_BYTES, LEVEL = 8_192, 3
+from .common import texts_of
+
+#: Labelled rows of each class that are used for fitting, and the bytes of both classes' texts.
+SAMPLE, SAMPLE_BYTES = 1500, 64_000_000
+#: Words of a window.
+WORDS = 2
+#: Bytes of a run, and the statistic beyond which it tells toxic from ordinary texts.
+GRAM, EXCESS = 6, 24.0
+DICT_BYTES, LEVEL = 8_192, 12
+#: Ordinary windows that the ordinary dictionary is trained on.
+TRAIN_WINDOWS = 60_000
+#: Lengths are counted up to this many bytes.
+LONGEST = 48
+#: Shares of toxic windows that the evidence is taken for.
+SHARES = (0.003, 0.02, 0.1)
+FEATURES = len(SHARES) + 2
+#: Bytes of text that are measured at once.
+BLOCK = 8_000_000
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_"
 
 
 def lower_words(text: bytes) -> list[bytes]:
     """Lower-case words without marks at their ends."""
-    w = [x.strip(b".,;:!?\"'()[]{}#*$%&|<>-_") for x in text.decode("utf-8", "replace").lower().encode().split()]
+    w = [x.strip(MARKS) for x in text.decode("utf-8", "replace").lower().encode().split()]
     return [x for x in w if x]
 
 
+def blocks(text: bytes, most: int = BLOCK) -> Iterator[list[bytes]]:
+    """The text's words in lists of about ``most`` bytes, each with the last words of the one before, so that windows run on."""
+    at, before = 0, []
+    while at < len(text):
+        cut = SPACE.search(text, at + most)
+        end = cut.end() if cut else len(text)
+        words = before + lower_words(text[at:end])
+        if len(words) > len(before):
+            yield words
+        at, before = end, words[1 - WORDS :] if WORDS > 1 else []
+
+
+class Windows:
+    """The windows of several lists of words, as stretches of one buffer; ``of`` gives each one's list."""
+
+    def __init__(self, words: list[list[bytes]]):
+        counts = np.array([len(w) for w in words], np.int64)
+        self.buffer = b" " + b" ".join(chain.from_iterable(words)) + b" "
+        sizes = np.fromiter(map(len, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        first = np.cumsum(counts) - counts
+        windows = np.where(counts > 0, np.maximum(counts - WORDS + 1, 1), 0)
+        of = np.repeat(np.arange(len(words)), windows)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + first[of]
+        last = np.minimum(at + WORDS, (first + counts)[of]) - 1
+        self.of, self.start = of, starts[at]
+        self.size = starts[last] + sizes[last] + 2 - self.start
+        self.texts = len(words)
+        # equal windows have equal codes, so that each is compressed once
+        codes = Codes()
+        word = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, len(sizes))
+        self.code = word[at]
+        for k in range(1, WORDS):
+            self.code = self.code * (len(codes) + 1) + np.where(at + k <= last, word[np.minimum(at + k, last)] + 1, 0)
+
+    def samples(self, which: np.ndarray) -> list[bytes]:
+        return [self.buffer[a : a + n] for a, n in zip(self.start[which].tolist(), self.size[which].tolist())]
+
+
+class Codes(dict):
+    """Numbers words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def compressor(dictionary: bytes):
+    """A compressor whose match search suits windows of a few words."""
+    import zstandard
+
+    how = zstandard.ZstdCompressionParameters(
+        window_log=15, chain_log=14, hash_log=14, search_log=4, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
+        write_checksum=0, write_content_size=0, write_dict_id=0,
+    )
+    held = zstandard.ZstdCompressionDict(dictionary)
+    held.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
+
+
+def lengths(coder, buffer: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Compressed length of each stretch of the buffer."""
+    import zstandard
+
+    if not len(start):
+        return np.zeros(0, np.int64)
+    parts = np.ascontiguousarray(np.stack([start, size], 1).astype(np.uint64)).tobytes()
+    out = coder.multi_compress_to_buffer(zstandard.BufferWithSegments(buffer, parts), threads=1)
+    return np.fromiter(map(len, out), np.int64, len(start))
+
+
 def train(samples: list[bytes]) -> bytes:
     """A dictionary of frequent content; with too few samples for training their own bytes stand in."""
     import zstandard
@@ -45,51 +136,48 @@ def train(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(samples)[-DICT_BYTES:]
+        return (b" ".join(samples) or b" no sample ")[-DICT_BYTES:]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Model:
-    """Two dictionaries and the calibration (weights, bias) over ``features``."""
+    """Two dictionaries, the likelihood ratio of each pair of lengths, and the calibration over ``features``."""
 
     toxic: bytes
     ordinary: bytes
-    weights: tuple = ()
+    ratio: np.ndarray = field(default_factory=lambda: np.ones((LONGEST, LONGEST)))
+    weights: tuple = (0.0,) * FEATURES
     bias: float = 0.0
 
     def measure(self):
-        """A function of a text to its features."""
-        import zstandard
+        """A function of windows to each one's lengths (ordinary, toxic), up to LONGEST."""
+        a, b = compressor(self.ordinary), compressor(self.toxic)
+
+        def pairs(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+            _, first, back = np.unique(w.code, return_index=True, return_inverse=True)
+            return tuple(np.minimum(lengths(c, w.buffer, w.start[first], w.size[first]), LONGEST - 1)[back] for c in (a, b))
+
+        return pairs
 
-        def coder(content: bytes):
-            d = zstandard.ZstdCompressionDict(content)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights) + self.bias, -30, 30)))
 
-        a, b = coder(self.toxic), coder(self.ordinary)
-        known: dict[bytes, int] = {}
 
-        def gain(window: bytes) -> int:
-            if window not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                known[window] = len(b(window)) - len(a(window))
-            return known[window]
+class Evidence:
+    """Features of ``n`` texts, gathered over their windows in any number of steps."""
 
-        def features(text: bytes) -> tuple[float, ...]:
-            w = lower_words(text)
-            gains = sorted((gain(b" " + x + b" ") for x in w), reverse=True)
-            if not gains:
-                return (0.0,) * 4
-            good = [g for g in gains if g >= 3]
-            top = gains[:3] + [0] * (3 - len(gains[:3]))
-            return (float(top[0]), float(top[1]), float(top[2]), math.log1p(len(good)))
+    def __init__(self, n: int):
+        self.sums, self.count, self.top = np.zeros((n, len(SHARES))), np.zeros(n), np.zeros(n)
 
-        return features
+    def add(self, of: np.ndarray, ratio: np.ndarray) -> None:
+        for k, s in enumerate(SHARES):
+            self.sums[:, k] += np.bincount(of, np.log1p(s * (ratio - 1)), len(self.count))
+        self.count += np.bincount(of, minlength=len(self.count))
+        np.maximum.at(self.top, of, ratio)
 
-    def score(self, x: tuple[float, ...]) -> float:
-        z = self.bias + sum(w * v for w, v in zip(self.weights, x))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
+    def features(self) -> np.ndarray:
+        """One row per text: evidence at each share, the number of windows, the largest ratio; zeros without windows."""
+        return np.column_stack([np.sign(self.sums) * np.log1p(np.abs(self.sums)), np.log1p(self.count), np.log(np.where(self.top > 0, self.top, 1.0))])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -103,54 +191,117 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
+def runs(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(code of the GRAM bytes from each place of the buffer, the place's text)."""
+    b = np.frombuffer(w.buffer, np.uint8).astype(np.uint64)
+    n = max(len(b) - GRAM + 1, 0)
+    code = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        code = code << np.uint64(8) | b[k : k + n]
+    text = np.zeros(n, np.int64)
+    if len(w.start):
+        text = w.of[np.clip(np.searchsorted(w.start, np.arange(n), "right") - 1, 0, None)]
+    return code, text
+
+
+def telling(w: Windows, y: np.ndarray) -> np.ndarray:
+    """Codes of the runs that stand in more toxic texts than chance allows."""
+    code, text = runs(w)
+    order = np.lexsort((text, code))
+    code, text = code[order], text[order]
+    once = np.ones(len(code), bool)
+    once[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
+    found, back = np.unique(code[once], return_inverse=True)
+    total = np.bincount(back, minlength=len(found)).astype(float)
+    toxic = np.bincount(back, y[text[once]], len(found))
+    usual = y.mean() if len(y) else 0.0
+    share = toxic / np.maximum(total, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(toxic > 0, toxic * np.log(share / usual), 0) + np.where(total > toxic, (total - toxic) * np.log((1 - share) / (1 - usual)), 0))
+    return found[(share > usual) & (g >= EXCESS)]
+
+
+def holding(w: Windows, codes: np.ndarray) -> np.ndarray:
+    """Whether each window holds a run of ``codes``."""
+    good = np.concatenate([[0], np.cumsum(np.isin(runs(w)[0], codes))])
+    end = np.clip(w.start + w.size - GRAM + 1, 0, len(good) - 1)
+    return good[np.maximum(end, np.minimum(w.start, len(good) - 1))] > good[np.minimum(w.start, len(good) - 1)]
+
+
+def dictionaries(w: Windows, y: np.ndarray) -> tuple[Model, np.ndarray]:
+    """A model without calibration, and the codes its toxic training windows were picked by."""
+    codes = telling(w, y)
+    toxic = np.flatnonzero((y[w.of] == 1) & holding(w, codes))
+    plain = np.random.default_rng(0).permutation(np.flatnonzero(y[w.of] == 0))[:TRAIN_WINDOWS]
+    return Model(train(w.samples(toxic)), train(w.samples(plain))), codes
+
+
+def ratios(w: Windows, y: np.ndarray, codes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How much likelier each pair of lengths is in toxic windows than in ordinary ones, smoothed."""
+    def share(which: np.ndarray) -> np.ndarray:
+        c = np.zeros((LONGEST + 2, LONGEST + 2))
+        np.add.at(c, (pairs[0][which] + 1, pairs[1][which] + 1), 1.0)
+        for axis in (0, 1):
+            c = (np.roll(c, 1, axis) + 2 * c + np.roll(c, -1, axis)) / 4
+        c = c[1:-1, 1:-1]
+        return c / max(c.sum(), 1e-12)
+
+    few = 2.0 / max(int((y[w.of] == 0).sum()), 1)
+    return (share((y[w.of] == 1) & holding(w, codes)) + few / 2) / (share(y[w.of] == 0) + few)
+
+
 def fit(rows: list[tuple[bytes, int]]) -> Model:
     """A model from (text, label); each half of the rows is measured with the other half's dictionaries for calibration."""
-    halves = [[r for r in rows if zlib.crc32(r[0]) % 2 == k] for k in (0, 1)]
-
-    def dictionaries(part: list[tuple[bytes, int]]) -> Model:
-        df = ({}, {})
-        plain, odd = [], []
-        n = [0, 0]
-        for t, y in part:
-            w = lower_words(t)
-            n[y] += 1
-            for x in set(w):
-                df[y][x] = df[y].get(x, 0) + 1
-            if not y:
-                plain += [b" " + b" ".join(w[i : i + 16]) + b" " for i in range(0, len(w), 16)]
-        for x, k in df[1].items():
-            # texts that the word would stand in if it said nothing about the class
-            usual = (k + df[0].get(x, 0)) * n[1] / max(sum(n), 1)
-            if k > 1 and k - usual > EXCESS * math.sqrt(usual):
-                odd += [b" " + x + b" "] * k
-        return Model(train(odd), train(plain[:20_000]))
-
-    xs, ys = [], []
-    for part, other in (halves, halves[::-1]):
-        features = dictionaries(part).measure()
-        xs += [features(t) for t, _ in other]
-        ys += [y for _, y in other]
-    final = dictionaries(rows)
-    if not xs or len(set(ys)) < 2:
-        return Model(final.toxic, final.ordinary, (0.0,) * 4, -3.0 if not any(ys) else 3.0)
-    w, b = calibrate(np.array(xs), np.array(ys, float))
-    return Model(final.toxic, final.ordinary, tuple(map(float, w)), b)
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int]]:
-    """At most SAMPLE rows of each class outside the held-out fold."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
-    picked = None
+    y = np.array([label for _, label in rows], np.int64)
+    if len(set(y.tolist())) < 2:
+        return Model(b" no sample ", b" no sample ", bias=3.0 if len(y) and y[0] else -3.0)
+    words = [lower_words(t) for t, _ in rows]
+    half = np.zeros(len(rows), bool)
+    for label in (0, 1):  # every other row of each class
+        half[np.flatnonzero(y == label)[::2]] = True
+    xs, ys, tables = [], [], []
+    for part in (half, ~half):
+        other = np.flatnonzero(~part)
+        model, codes = dictionaries(Windows([words[i] for i in np.flatnonzero(part)]), y[part])
+        w = Windows([words[i] for i in other])
+        pairs = model.measure()(w)
+        model.ratio = ratios(w, y[other], codes, pairs)
+        tables.append(model.ratio)
+        found = Evidence(w.texts)
+        found.add(w.of, model.ratio[pairs])
+        xs.append(found.features())
+        ys.append(y[other])
+    model, _ = dictionaries(Windows(words), y)
+    model.ratio = (tables[0] + tables[1]) / 2
+    weights, model.bias = calibrate(np.vstack(xs), np.concatenate(ys).astype(float))
+    model.weights = tuple(map(float, weights))
+    return model
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """At most ``most`` rows of each class outside the held-out fold, ``most_bytes`` of text in all.
+
+    Of a doc_id with several labels the greatest counts, of one with several
+    texts the least.
+    """
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    there = texts.select("doc_id", F.octet_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    picked = []
     for y in (0, 1):
-        # more than needed, as labels may lack a document
-        part = known.where(F.col("toxic") == y).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy("h", "doc_id").limit(SAMPLE)
-        picked = part if picked is None else picked.unionByName(part)
-    got = (
-        docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, SAMPLE_BYTES).alias("text"))
-        .where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("h", "doc_id").collect()
-    )
-    return [(r["text"].encode(), r["toxic"]) for r in got]
+        # the labels may lack a document, and the documents a label
+        part = known.where(F.col("toxic") == y).join(there, "doc_id").orderBy("h", "doc_id").limit(most).collect()
+        left = most_bytes // 2
+        for r in part:
+            if r["n"] <= left:
+                left -= r["n"]
+                picked.append((r["doc_id"], r["toxic"], r["h"]))
+    if not picked:
+        return []
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, h long")
+    got = texts.join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(r["text"].encode("utf-8", "replace"), r["toxic"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"]))]
 
 
 def held_out(doc_id):
@@ -160,20 +311,36 @@ def held_out(doc_id):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per row of ``docs``.
 
-    Null and empty texts have no window and get the score of zero gains. A null
-    doc_id is not held out. Repeated rows are scored alike; extra columns are
-    ignored; with no labelled rows of both classes all scores are the prior's.
+    Fitting runs Spark jobs and trains on the driver while the plan is built.
+    Null and empty texts have no window and get the score of no evidence. A
+    null doc_id is not held out. Repeated rows are scored alike; extra columns
+    are ignored; with no labelled rows of both classes all scores are the
+    prior's; an empty table gives no rows.
     """
-    model = fit(training_rows(docs, labels))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels)))
 
     def run(batches):
-        features = None
+        model, measure = held.value, None
         for batch in batches:
-            features = features or held.value.measure()
-            for part in small_slices(batch, "text"):
-                s = [held.value.score(features(t)) for t in texts_of(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            measure = measure or model.measure()
+            found = Evidence(batch.num_rows)
+            words, rows, size = [], [], 0
+
+            def flush():
+                w = Windows(words)
+                found.add(np.array(rows, np.int64)[w.of], model.ratio[measure(w)])
+
+            for row, text in enumerate(texts_of(batch, "text")):
+                for part in blocks(text):
+                    words.append(part)
+                    rows.append(row)
+                    size += min(len(text), BLOCK)
+                    if size >= BLOCK:
+                        flush()
+                        words, rows, size = [], [], 0
+            if words:
+                flush()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(found.features()), pa.float64())], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.select(
