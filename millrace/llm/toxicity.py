@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-#: Labelled rows of each class that are used for fitting, and the bytes of both classes' texts.
-SAMPLE, SAMPLE_BYTES = 1500, 64_000_000
+#: Labelled rows of each class that are used for fitting, and the bytes of their texts, half for each class.
+SAMPLE, SAMPLE_BYTES = 1500, 8_000_000
 #: Words of a window.
 WORDS = 2
 #: Bytes of a run, and the statistic beyond which it tells toxic from ordinary texts.
@@ -86,6 +86,8 @@ class Windows:
         self.of, self.start = of, starts[at]
         self.size = starts[last] + sizes[last] + 2 - self.start
         self.texts = len(words)
+        #: where each list begins in the buffer, and where the last one ends
+        self.edges = np.concatenate([starts, [len(self.buffer) - 1]])[np.append(first, len(sizes))].tolist()
         # equal windows have equal codes, so that each is compressed once
         codes = Codes()
         word = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, len(sizes))
@@ -191,41 +193,42 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def runs(w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the GRAM bytes from each place of the buffer, the place's text)."""
-    b = np.frombuffer(w.buffer, np.uint8).astype(np.uint64)
+def runs(buffer: bytes, start: int, end: int) -> np.ndarray:
+    """Codes of the GRAM bytes from each place between ``start`` and ``end`` of the buffer."""
+    b = np.frombuffer(buffer, np.uint8, max(min(end + GRAM - 1, len(buffer)) - start, 0), start).astype(np.uint64)
     n = max(len(b) - GRAM + 1, 0)
     code = np.zeros(n, np.uint64)
     for k in range(GRAM):
         code = code << np.uint64(8) | b[k : k + n]
-    text = np.zeros(n, np.int64)
-    if len(w.start):
-        text = w.of[np.clip(np.searchsorted(w.start, np.arange(n), "right") - 1, 0, None)]
-    return code, text
+    return code
 
 
 def telling(w: Windows, y: np.ndarray) -> np.ndarray:
     """Codes of the runs that stand in more toxic texts than chance allows."""
-    code, text = runs(w)
-    order = np.lexsort((text, code))
-    code, text = code[order], text[order]
-    once = np.ones(len(code), bool)
-    once[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
-    found, back = np.unique(code[once], return_inverse=True)
-    total = np.bincount(back, minlength=len(found)).astype(float)
-    toxic = np.bincount(back, y[text[once]], len(found))
+    found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+    for k, label in enumerate(y):
+        found[label].append(np.unique(runs(w.buffer, w.edges[k], w.edges[k + 1] - GRAM + 1)))
+    codes, toxic = np.unique(np.concatenate(found[1]), return_counts=True)
+    plain = np.concatenate(found[0])
+    del found
+    place = np.searchsorted(codes, plain)
+    plain = place[codes[np.minimum(place, len(codes) - 1)] == plain] if len(codes) else place[:0]
+    total = toxic + np.bincount(plain, minlength=len(codes))
     usual = y.mean() if len(y) else 0.0
     share = toxic / np.maximum(total, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(toxic > 0, toxic * np.log(share / usual), 0) + np.where(total > toxic, (total - toxic) * np.log((1 - share) / (1 - usual)), 0))
-    return found[(share > usual) & (g >= EXCESS)]
+        g = 2 * (toxic * np.log(share / usual) + np.where(total > toxic, (total - toxic) * np.log((1 - share) / (1 - usual)), 0))
+    return codes[(share > usual) & (g >= EXCESS)]
 
 
 def holding(w: Windows, codes: np.ndarray) -> np.ndarray:
-    """Whether each window holds a run of ``codes``."""
-    good = np.concatenate([[0], np.cumsum(np.isin(runs(w)[0], codes))])
-    end = np.clip(w.start + w.size - GRAM + 1, 0, len(good) - 1)
-    return good[np.maximum(end, np.minimum(w.start, len(good) - 1))] > good[np.minimum(w.start, len(good) - 1)]
+    """Whether each window holds a run of ``codes`` (sorted)."""
+    good = np.zeros(len(w.buffer) + 1, np.int32)
+    for a in range(0, len(w.buffer) if len(codes) else 0, 1_000_000):
+        code = runs(w.buffer, a, min(a + 1_000_000, len(w.buffer)))
+        good[a + 1 : a + 1 + len(code)] = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+    good = np.cumsum(good, dtype=np.int32)
+    return good[np.maximum(w.start + w.size - GRAM + 1, w.start)] > good[w.start]
 
 
 def dictionaries(w: Windows, y: np.ndarray) -> tuple[Model, np.ndarray]:
