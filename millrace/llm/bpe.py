@@ -1,49 +1,100 @@
 """Byte-level BPE by DuckDB recursive queries, one engine per Python worker.
 
-Pre-tokens that are no token are split into rows (piece, position, token). A
+Pre-tokens that are no token are split into rows (piece, place, token). A
 recursive query joins adjacent rows with the ranks of concatenated tokens and
 contracts each piece's leftmost pair of least rank until no pair is left. Ids
-are decoded by an ordered aggregation. Recursion keeps the rows of all rounds,
-so a query runs ROUNDS rounds at most and the rest goes into the next one;
-pieces of more than LONG bytes, whose rounds would be quadratic, are merged by
-the same rule with a heap instead.
+are decoded by an ordered aggregation over their tokens.
+
+In a piece of more than SHORT bytes a round contracts a pair of least rank in
+every neighbourhood instead, so that the rounds don't grow with the piece. What a
+contraction can lead to lies inside one token, so a pair is out of reach of all
+that comes before it if no lesser one lies within two tokens' length; the order
+of the one-by-one method is thereby kept. Equal overlapping pairs are taken
+alternately from the left, unless their token makes a pair of lesser rank.
+
+A worker remembers up to CACHE pre-tokens. Texts are read in blocks of BLOCK
+characters, so that memory follows neither a text's nor a batch's length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, texts_of
+from .common import texts_of
+
+#: Bytes of a piece that are contracted one pair a round, and of the pieces in a query.
+SHORT, QUERY = 64, 500_000
+#: Characters of a text read at once, and of the blocks encoded at once.
+BLOCK = 4_000_000
+#: Pre-tokens that a worker remembers.
+CACHE = 700_000
+#: Tokens in a row that is decoded.
+ROW = 4
+BASE = 1 << 32
 
-ROUNDS, LONG, BLOCK = 24, 512, 20_000
-#: Pieces that a worker remembers.
-CACHE = 200_000
+ONE_A_ROUND = f"""
+WITH RECURSIVE r(p, g, tok, k) AS (
+  SELECT p, g, tok, 0 FROM start
+  UNION ALL
+  SELECT r.p, r.g, CASE WHEN r.g = b.key % {BASE} THEN b.key // {BASE} ELSE r.tok END, r.k + 1
+  FROM r JOIN (
+    SELECT p, min(id * {BASE} + g) AS key, arg_min(after, id * {BASE} + g) AS gone
+    FROM (
+      SELECT p, g, tok << 32 | lead(tok) OVER w AS pair, lead(g) OVER w AS after, lead(p) OVER w AS other
+      FROM r WINDOW w AS (ORDER BY g)
+    ) JOIN merges USING (pair) WHERE other = p GROUP BY p
+  ) b ON r.p = b.p AND r.g <> b.gone
+)
+SELECT p, tok FROM r JOIN (SELECT p, max(k) AS k FROM r GROUP BY p) USING (p, k) ORDER BY g
+"""
 
-STEP = f"""
-WITH RECURSIVE r(p, pos, tok, k) AS (
-  SELECT p, pos, tok, 0 FROM start
+MANY_A_ROUND = f"""
+WITH RECURSIVE r(g, p, tok) USING KEY (g) AS (
+  SELECT g, p, tok FROM start
   UNION ALL
-  SELECT s.p, s.pos, CASE WHEN s.pos = b.pos THEN b.id ELSE s.tok END, s.k + 1
-  FROM (SELECT p, pos, tok, k FROM r WHERE k < {ROUNDS}) s
-  JOIN (
-    SELECT n.p, min(m.id * 65536 + n.pos) % 65536 AS pos, min(m.id * 65536 + n.pos) // 65536 AS id,
-           arg_min(n.after, m.id * 65536 + n.pos) AS gone
-    FROM (SELECT p, pos, tok, lead(tok) OVER w AS next, lead(pos) OVER w AS after FROM r WHERE k < {ROUNDS} WINDOW w AS (PARTITION BY p ORDER BY pos)) n
-    JOIN merges m ON m.a = n.tok AND m.b = n.next
-    GROUP BY n.p
-  ) b ON s.p = b.p AND s.pos <> b.gone
+  SELECT unnest([g, after]) AS g, p, unnest([id, NULL]) AS tok FROM (
+    SELECT *, bool_and(least) OVER (PARTITION BY p, run ORDER BY g ROWS UNBOUNDED PRECEDING) AS safe,
+           row_number() OVER (PARTITION BY p, run ORDER BY g) AS nth
+    FROM (
+      SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY p ORDER BY g ROWS UNBOUNDED PRECEDING) AS run,
+             CASE WHEN tame THEN id = lowest // {BASE} ELSE key = lowest END AS least
+      FROM (
+        SELECT *, coalesce(lag(after) OVER (PARTITION BY p ORDER BY g) = g AND lag(id) OVER (PARTITION BY p ORDER BY g) = id, false) AS joined,
+               min(key) OVER (PARTITION BY p ORDER BY g RANGE BETWEEN $reach PRECEDING AND $reach FOLLOWING) AS lowest
+        FROM (
+          SELECT p, g, after, id, tame, id * {BASE} + g AS key FROM (
+            SELECT p, g, tok << 32 | lead(tok) OVER w AS pair, lead(g) OVER w AS after, lead(p) OVER w AS other
+            FROM recurring.r WHERE tok IS NOT NULL WINDOW w AS (ORDER BY g)
+          ) JOIN merges USING (pair) WHERE other = p
+        )
+      )
+    )
+  ) WHERE safe AND nth % 2 = 1
 )
-SELECT p, pos, tok, k FROM r QUALIFY k = max(k) OVER (PARTITION BY p) ORDER BY p, pos
+SELECT p, tok FROM r WHERE tok IS NOT NULL ORDER BY g
 """
 
 
+class Codes(dict):
+    """Numbers pre-tokens in the order they are met."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.words.append(word)
+        return n
+
+
 class Codec:
     """Encoder and decoder for a rank file and a pre-token pattern."""
 
@@ -51,92 +102,116 @@ class Codec:
         import duckdb
         import regex
 
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.known: dict[bytes, np.ndarray] = {}
-        self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = true")
-        a, b, c = [], [], []
+        self.reach = 2 * max(map(len, self.ranks))
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs, whole, wild = [], [], set()
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if x is not None and y is not None:
-                    a.append(x), b.append(y), c.append(rank)
-        pairs = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "id": pa.array(c, pa.int64())})
-        vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "hex": [t.hex() for t in self.ranks]})
-        self.db.register("pairs", pairs)
-        self.db.register("words", vocabulary)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs; CREATE TABLE vocabulary AS SELECT * FROM words")
-        self.db.unregister("pairs"), self.db.unregister("words")
-        self.pair = {(x, y): z for x, y, z in zip(a, b, c)}
-
-    def long_piece(self, piece: bytes) -> list[int]:
-        """The same contraction with a heap of (rank, position)."""
-        tok = [self.ranks[piece[i : i + 1]] for i in range(len(piece))]
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.pair.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if tok[i] is not None else n
-            if j >= n or self.pair.get((tok[i], tok[j])) != r:
-                continue
-            tok[i], tok[j], after[i] = r, None, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (s := self.pair.get((tok[x], tok[y]))) is not None:
-                    heapq.heappush(heap, (s, x))
-        return [t for t in tok if t is not None]
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces into the memory."""
-        rows = []
-        for piece in pieces:
-            if (r := self.ranks.get(piece)) is not None:
-                self.known[piece] = np.array([r], np.uint32)
-            elif len(piece) > LONG:
-                self.known[piece] = np.array(self.long_piece(piece), np.uint32)
+                    pairs.append(x << 32 | y)
+                    whole.append(rank)
+                    wild.update(part for part in (x, y) if part > rank)
+        self.db = duckdb.connect()
+        self.db.execute("SET threads = 1; SET memory_limit = '500MB'")
+        self._table("merges", pair=np.array(pairs, np.int64), id=np.array(whole, np.int64), tame=np.array([x not in wild for x in whole], bool))
+        # one character per byte; the last row fills up rows of ids
+        chars = [t.decode("latin-1") for t in self.ranks] + [""]
+        self._table("vocabulary", id=np.array([*self.ranks.values(), -1], np.int64), chars=pa.array(chars, pa.string()))
+        self.forget()
+
+    def _table(self, name: str, **columns) -> None:
+        self.db.register("given", pa.table(columns))
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
+
+    def forget(self) -> None:
+        """Empty the memory of pre-tokens."""
+        self.codes = Codes()
+        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place = np.zeros(0, np.int64)
+
+    def pieces(self, text: str, most: int = BLOCK) -> Iterator[list[str]]:
+        """The text's pre-tokens, in lists of about ``most`` characters.
+
+        A block's last pre-tokens may depend on what follows it, so they are
+        found again at the start of the next one.
+        """
+        at, size = 0, most
+        while at < len(text):
+            found = self.split(text[at : at + size])
+            if at + size < len(text):
+                if len(found) < 8:
+                    size *= 2
+                    continue
+                found = found[:-4]
+            yield found
+            at, size = at + sum(map(len, found)), most
+
+    def merged(self, pieces: list[bytes], query: str, **values) -> list[np.ndarray]:
+        """Token ids of each piece by a recursive query."""
+        sizes = np.array([len(x) for x in pieces], np.int64)
+        p = np.repeat(np.arange(len(pieces)), sizes)
+        self.db.register("start", pa.table({"p": p, "g": np.arange(len(p)), "tok": self.single[np.frombuffer(b"".join(pieces), np.uint8)]}))
+        out = self.db.execute(query, values or None).fetchnumpy()
+        self.db.unregister("start")
+        return np.split(np.asarray(out["tok"], np.uint32), np.cumsum(np.bincount(out["p"], minlength=len(pieces)))[:-1])
+
+    def learn(self) -> None:
+        """Encode the pre-tokens that are new in the memory."""
+        new = [x.encode() for x in self.codes.words[len(self.size) :]]
+        ids: list = [None] * len(new)
+        short, long = [], []
+        for k, x in enumerate(new):
+            if (r := self.ranks.get(x)) is not None:
+                ids[k] = (r,)
             else:
-                rows.append(piece)
-        single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        for i in range(0, len(rows), BLOCK):
-            block = rows[i : i + BLOCK]
-            sizes = np.array([len(x) for x in block])
-            p = np.repeat(np.arange(len(block)), sizes)
-            pos = np.arange(len(p)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            tok = single[np.frombuffer(b"".join(block), np.uint8)]
-            while len(p):
-                self.db.register("start", pa.table({"p": p, "pos": pos, "tok": tok}))
-                out = self.db.execute(STEP).fetchnumpy()
-                self.db.unregister("start")
-                end = out["k"] < ROUNDS
-                ends = np.flatnonzero(np.diff(out["p"][end], prepend=-1, append=-1))
-                ids, tok_ids = out["p"][end], out["tok"][end].astype(np.uint32)
-                for x, y in zip(ends[:-1], ends[1:]):
-                    self.known[block[ids[x]]] = tok_ids[x:y]
-                p, pos, tok = out["p"][~end], out["pos"][~end], out["tok"][~end]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 32-bit integers."""
-        pieces = [[x.encode() for x in self.split(t.decode())] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = {x: None for ps in pieces for x in ps if x not in self.known}
-        self.learn(list(new))
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([self.known[x] for x in ps]) if ps else none for ps in pieces]
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each sequence of ids."""
-        sizes = np.array([len(x) for x in ids], np.int64)
-        out = [b""] * len(ids)
-        if sizes.sum():
-            flat = np.concatenate(ids).astype(np.int64)
-            self.db.register("ids", pa.table({"d": np.repeat(np.arange(len(ids)), sizes), "n": np.arange(len(flat)), "id": flat}))
-            for d, h in self.db.execute("SELECT d, string_agg(hex, '' ORDER BY n) FROM ids JOIN vocabulary USING (id) GROUP BY d").fetchall():
-                out[d] = bytes.fromhex(h)
+                (short if len(x) <= SHORT else long).append(k)
+        for which, query, values in ((short, ONE_A_ROUND, {}), (long, MANY_A_ROUND, {"reach": self.reach})):
+            part, held = [], 0
+            for k in [*which, None]:
+                if part and (k is None or held + len(new[k]) > QUERY):
+                    for j, found in zip(part, self.merged([new[j] for j in part], query, **values)):
+                        ids[j] = found
+                    part, held = [], 0
+                if k is not None:
+                    part.append(k)
+                    held += len(new[k])
+        if new:
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.place = np.concatenate([self.place, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.ids = np.concatenate([self.ids, *([np.concatenate([np.asarray(x, np.uint32) for x in ids])] if ids else [])])
+
+    def encode(self, blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of blocks of codes, one after the other, and how many each block has."""
+        self.learn()
+        codes = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.place[codes] - ends + sizes, sizes) + np.arange(total)]
+        borders = np.concatenate([[0], ends])[np.cumsum([0, *map(len, blocks)])]
+        return ids, np.diff(borders)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Bytes of each run of ids, given how many it has."""
+        out = [b""] * len(counts)
+        rows = -(-counts // ROW)
+        of = np.repeat(np.arange(len(counts)), rows)
+        if len(of):
+            padded = np.full(len(of) * ROW, -1, np.int64)
+            shift = (np.cumsum(rows) - rows) * ROW - (np.cumsum(counts) - counts)
+            padded[np.arange(len(ids)) + np.repeat(shift, counts)] = ids
+            columns = {f"t{k}": padded[k::ROW] for k in range(ROW)}
+            self.db.register("ids", pa.table({"d": of, "n": np.arange(len(of)), **columns}))
+            joins = " ".join(f"JOIN vocabulary v{k} ON v{k}.id = t{k}" for k in range(ROW))
+            text = " || ".join(f"v{k}.chars" for k in range(ROW))
+            for d, s in self.db.execute(f"SELECT d, string_agg({text}, '' ORDER BY n) FROM ids {joins} GROUP BY d").fetchall():
+                out[d] = s.encode("latin-1")
             self.db.unregister("ids")
         return out
 
@@ -151,30 +226,66 @@ def codec(path: str, pattern: str) -> Codec:
     return _held[path, pattern]
 
 
+class Encoded:
+    """What is known of each row's text: token count, digests, and, if asked for, ids and bytes."""
+
+    def __init__(self, n: int, with_ids: bool):
+        self.count = np.zeros(n, np.int64)
+        self.of_ids, self.of_bytes = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+        self.kept = [([], []) for _ in range(n)] if with_ids else None
+
+    def add(self, c: Codec, rows: list[int], blocks: list[np.ndarray]) -> None:
+        ids, counts = c.encode(blocks)
+        at = 0
+        for row, n, text in zip(rows, counts.tolist(), c.decode(ids, counts)):
+            part = ids[at : at + n]
+            at += n
+            self.count[row] += n
+            self.of_ids[row].update(part.astype("<u4").tobytes())
+            self.of_bytes[row].update(text)
+            if self.kept is not None:
+                self.kept[row][0].append(part.astype(np.int32))
+                self.kept[row][1].append(text)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded), one row per row of ``docs``.
 
-    Null texts count as empty: no ids, the digests of nothing. Repeated rows
-    give repeated rows; extra columns are ignored; an empty table gives no rows.
+    Null texts count as empty: no ids, the digests of nothing. Bytes that are
+    not valid UTF-8 are read as U+FFFD. Repeated rows give repeated rows; extra
+    columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):
         for batch in batches:
-            for part in small_slices(batch, "text", 1_000_000):
-                c = codec(path, pattern)
-                ids = c.encode(texts_of(part, "text"))
-                decoded = c.decode(ids)
-                cols = [
-                    part.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+            c = codec(path, pattern)
+            found = Encoded(batch.num_rows, with_ids)
+            rows, blocks, size = [], [], 0
+            for row, t in enumerate(texts_of(batch, "text")):
+                for part in c.pieces(t.decode("utf-8", "replace")):
+                    rows.append(row)
+                    blocks.append(np.fromiter(map(c.codes.__getitem__, part), np.int64, len(part)))
+                    size += min(len(t), BLOCK)
+                    if size >= BLOCK:
+                        found.add(c, rows, blocks)
+                        rows, blocks, size = [], [], 0
+                        if len(c.codes) > CACHE:
+                            c.forget()
+            if rows:
+                found.add(c, rows, blocks)
+            cols = [
+                batch.column(0), pa.array(found.count, pa.int64()),
+                pa.array([x.hexdigest() for x in found.of_ids], pa.string()), pa.array([x.hexdigest() for x in found.of_bytes], pa.string()),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                none = np.zeros(0, np.int32)
+                cols += [
+                    pa.array([np.concatenate(a) if a else none for a, _ in found.kept], pa.list_(pa.int32())),
+                    pa.array([b"".join(b).decode("utf-8", "replace") for _, b in found.kept], pa.string()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.decode("utf-8", "replace") for x in decoded], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
