@@ -9,8 +9,9 @@ In a piece of more than SHORT bytes a round contracts a pair of least rank in
 every neighbourhood instead, so that the rounds don't grow with the piece. What a
 contraction can lead to lies inside one token, so a pair is out of reach of all
 that comes before it if no lesser one lies within two tokens' length; the order
-of the one-by-one method is thereby kept. Equal overlapping pairs are taken
-alternately from the left, unless their token makes a pair of lesser rank.
+of the one-by-one method is thereby kept. Equal pairs go together, overlapping
+ones alternately from the left, up to one whose token makes a pair of lesser rank
+with a neighbour or its like.
 
 A worker remembers up to CACHE pre-tokens. Texts are read in blocks of BLOCK
 characters, so that memory follows neither a text's nor a batch's length.
@@ -64,16 +65,19 @@ WITH RECURSIVE r(g, p, tok) USING KEY (g) AS (
            row_number() OVER (PARTITION BY p, run ORDER BY g) AS nth
     FROM (
       SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY p ORDER BY g ROWS UNBOUNDED PRECEDING) AS run,
-             CASE WHEN tame THEN id = lowest // {BASE} ELSE key = lowest END AS least
+             id = lowest // {BASE} AND (lowest % {BASE} = {BASE - 1} OR g <= lowest % {BASE}) AS least
       FROM (
-        SELECT *, coalesce(lag(after) OVER (PARTITION BY p ORDER BY g) = g AND lag(id) OVER (PARTITION BY p ORDER BY g) = id, false) AS joined,
+        SELECT *, coalesce(lag(after) OVER v = g AND lag(id) OVER v = id, false) AS joined,
                min(key) OVER (PARTITION BY p ORDER BY g RANGE BETWEEN $reach PRECEDING AND $reach FOLLOWING) AS lowest
         FROM (
-          SELECT p, g, after, id, tame, id * {BASE} + g AS key FROM (
-            SELECT p, g, tok << 32 | lead(tok) OVER w AS pair, lead(g) OVER w AS after, lead(p) OVER w AS other
-            FROM recurring.r WHERE tok IS NOT NULL WINDOW w AS (ORDER BY g)
-          ) JOIN merges USING (pair) WHERE other = p
-        )
+          SELECT p, g, after, m.id, m.id * {BASE} + CASE WHEN m.twice OR x.pair IS NOT NULL OR y.pair IS NOT NULL THEN g ELSE {BASE - 1} END AS key
+          FROM (
+            SELECT p, g, tok << 32 | lead(tok) OVER w AS pair, lead(g) OVER w AS after,
+                   lag(tok) OVER w AS before, lead(tok, 2) OVER w AS next
+            FROM recurring.r WHERE tok IS NOT NULL WINDOW w AS (PARTITION BY p ORDER BY g)
+          ) JOIN merges m USING (pair)
+          LEFT JOIN lesser x ON x.pair = before << 32 | m.id LEFT JOIN lesser y ON y.pair = m.id << 32 | next
+        ) WINDOW v AS (PARTITION BY p ORDER BY g)
       )
     )
   ) WHERE safe AND nth % 2 = 1
@@ -107,17 +111,21 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.reach = 2 * max(map(len, self.ranks))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs, whole, wild = [], [], set()
+        pairs, whole, twice, lesser = [], [], set(), []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if x is not None and y is not None:
                     pairs.append(x << 32 | y)
                     whole.append(rank)
-                    wild.update(part for part in (x, y) if part > rank)
+                    if rank < max(x, y):
+                        lesser.append(x << 32 | y)
+                        if x == y:
+                            twice.add(x)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '500MB'")
-        self._table("merges", pair=np.array(pairs, np.int64), id=np.array(whole, np.int64), tame=np.array([x not in wild for x in whole], bool))
+        self._table("merges", pair=np.array(pairs, np.int64), id=np.array(whole, np.int64), twice=np.array([x in twice for x in whole], bool))
+        self._table("lesser", pair=np.array(lesser, np.int64))
         # one character per byte; the last row fills up rows of ids
         chars = [t.decode("latin-1") for t in self.ranks] + [""]
         self._table("vocabulary", id=np.array([*self.ranks.values(), -1], np.int64), chars=pa.array(chars, pa.string()))
