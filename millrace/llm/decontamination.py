@@ -3,7 +3,7 @@
 Benchmark items come in blocks of bounded size, each shipped to the workers
 whole; every document passes every block, so nothing is shuffled and frequent
 passages or huge benchmarks change only the number of blocks. A document and an
-item that share a seed (a shingle of LEAST words) are tiled: the longest
+item that share a seed (a shingle of LEAST words, or a shorter item's all) are tiled: the longest
 matches of unmarked words, found by Karp-Rabin hashing, are marked first, then
 shorter ones down to LEAST words. Marked words of the item over its words are
 the coverage, in whatever order the passages stand. Pairs with too few words
@@ -13,6 +13,7 @@ aren't tiled.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialise, small_slices, texts_of
+from .common import small_slices, texts_of
 
 LEAST, COVERAGE = 5, 0.8
 #: Words of the items in a block.
@@ -67,65 +68,80 @@ def _scan(item: list, text: list, free_i: list, free_t: list, size: int) -> list
 
 
 def tiled(item: list, text: list, least: int = LEAST) -> int:
-    """Words of ``item`` under greedy string tiles of ``text``."""
+    """Words of ``item`` under greedy string tiles of ``text``: always the longest match of unmarked words first.
+
+    Ties go to the first place in the item, then in the text. What an earlier
+    tile leaves of a match waits again among those of its length.
+    """
     free_i, free_t, covered = [True] * len(item), [True] * len(text), 0
-    size = len(item)
+    size = max(len(item), least)
     while True:
-        found = _scan(item, text, free_i, free_t, size)
-        for n, i, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        waiting = [(-n, i, t) for n, i, t in _scan(item, text, free_i, free_t, size)]
+        heapq.heapify(waiting)
+        while waiting:
+            n, i, t = heapq.heappop(waiting)
+            n = -n
             if all(free_i[i : i + n]) and all(free_t[t : t + n]):
                 free_i[i : i + n], free_t[t : t + n] = [False] * n, [False] * n
                 covered += n
-            # a run that an earlier tile cut is found again at a smaller size
+                continue
+            run = 0
+            for k in range(n + 1):
+                if k < n and free_i[i + k] and free_t[t + k]:
+                    run += 1
+                    continue
+                if run >= size:
+                    heapq.heappush(waiting, (-run, i + k - run, t + k - run))
+                run = 0
         if size == least:
-            # cut runs may still hold shorter tiles
-            if not found:
-                return covered
-            continue
+            return covered
         size = max(least, size // 2)
 
 
-def _seeded(item: list, seeds: set[tuple]) -> int:
+def _seeded(item: list, seeds: set[tuple], least: int = LEAST) -> int:
     """Words of ``item``, repeated ones too, that lie under any of ``seeds``: no tiling covers more."""
     n = end = 0
-    for i, s in enumerate(zip(*[item[i:] for i in range(LEAST)])):
+    for i, s in enumerate(zip(*[item[i:] for i in range(least)])):
         if s in seeds:
-            n += i + LEAST - max(i, end)
-            end = i + LEAST
+            n += i + least - max(i, end)
+            end = i + least
     return n
 
 
 class Block:
-    """Items of a block with their seeds."""
+    """Items of a block with their seeds, by the seeds' lengths: LEAST words, or the whole of a shorter item."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.items = [(k, w) for k, t in items if len(w := words(t)) >= LEAST]
-        self.seeds: dict[tuple, set[int]] = defaultdict(set)
+        self.items = [(k, w) for k, t in items if (w := words(t))]
+        self.seeds: dict[int, dict[tuple, set[int]]] = {}
         for n, (_, w) in enumerate(self.items):
-            for s in zip(*[w[i:] for i in range(LEAST)]):
-                self.seeds[s].add(n)
+            least = min(LEAST, len(w))
+            held = self.seeds.setdefault(least, {})
+            for s in zip(*[w[i:] for i in range(least)]):
+                held.setdefault(s, set()).add(n)
 
     def leaks(self, text: bytes) -> list[tuple[int, int, int]]:
         """(item id, covered words, words) of each item that the text covers."""
         w = words(text)
-        near: dict[int, list[int]] = defaultdict(list)
-        for t, s in enumerate(zip(*[w[i:] for i in range(LEAST)])):
-            for n in self.seeds.get(s, ()):
-                near[n].append(t)
         out = []
-        for n, spots in near.items():
-            key, item = self.items[n]
-            # only words under seeds can be tiled: the text is cut to them, with a gap between runs
-            cut, end = [], -1
-            for t in spots:
-                if end >= 0 and t > end:
-                    cut.append(None)
-                cut += w[max(t, end) : t + LEAST]
-                end = t + LEAST
-            # tiles use up words of the text and of the item, and on both sides these lie under seeds
-            least = COVERAGE * len(item)
-            if len(cut) - cut.count(None) >= least and _seeded(item, {tuple(w[t : t + LEAST]) for t in spots}) >= least and (c := tiled(item, cut)) >= least:
-                out.append((key, c, len(item)))
+        for size, seeds in self.seeds.items():
+            near: dict[int, list[int]] = defaultdict(list)
+            for t, s in enumerate(zip(*[w[i:] for i in range(size)])):
+                for n in seeds.get(s, ()):
+                    near[n].append(t)
+            for n, spots in near.items():
+                key, item = self.items[n]
+                # only words under seeds can be tiled: the text is cut to them, with a gap between runs
+                cut, end = [], -1
+                for t in spots:
+                    if end >= 0 and t > end:
+                        cut.append(None)
+                    cut += w[max(t, end) : t + size]
+                    end = t + size
+                # tiles use up words of the text and of the item, and on both sides these lie under seeds
+                least = COVERAGE * len(item)
+                if len(cut) - cut.count(None) >= least and _seeded(item, {tuple(w[t : t + size]) for t in spots}, size) >= least and (c := tiled(item, cut, size)) >= least:
+                    out.append((key, c, len(item)))
         return out
 
 
@@ -146,7 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     """doc_id, item_id, covered, n_words: the items of which a document covers COVERAGE or more.
 
     One row per row of ``docs`` and item. Null and empty texts leak nothing;
-    items of fewer than LEAST words are never found; an empty benchmark or
+    items of fewer than LEAST words must be found whole, those without a word
+    are never found; an empty benchmark or
     table gives no rows; extra columns are ignored. Column ``key`` of ``docs``
     is returned as doc_id.
     """
@@ -166,7 +183,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that leak no item, with their columns as they were; rows of the same doc_id are judged each by its own text."""
-    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    bad = leaks(rows, benchmark, ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    """The rows that leak no item, with their columns as they were; each row is judged by its own text, without any shuffle."""
+    for block in blocks(benchmark):
+
+        def run(batches, held=docs.sparkSession.sparkContext.broadcast(block)):
+            for batch in batches:
+                for part in small_slices(batch, "text"):
+                    clean = [not held.value.leaks(t) for t in texts_of(part, "text")]
+                    yield part.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

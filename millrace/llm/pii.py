@@ -2,17 +2,22 @@
 
 The network is trained in numpy on labelled spans (invented texts with e-mail
 addresses, network addresses, card and phone numbers in many notations). Texts
-are cut into overlapping windows; each is decoded by Viterbi, and the spans of
-all windows of a text are reconciled: pattern matches stay, then spans farther
-from a window's edge come first, and none overlap. Every kind holds an at sign
-or a digit, so windows without either can hold no span and are not decoded.
+are cut into overlapping windows; each is decoded by Viterbi, and all windows of
+a text are reconciled into one sequence: each character has its tag from the
+window in whose middle it stands, and spans, however long, are that sequence's
+runs. Pattern matches stay; runs that overlap none are added. ``valid`` demands
+an at sign or a digit of every kind, so decoding starts at the windows of these
+characters and goes on to neighbours as long as a run reaches their border;
+nothing is lost by passing over the others.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,10 @@ from .common import small_slices, texts_of
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 WINDOW, STEP = 96, 48
+#: Characters between a window's start and its middle part of STEP characters.
+EDGE = (WINDOW - STEP) // 2
+#: Windows that are decoded at once.
+BATCH = 2048
 HIDDEN, EMBED, SYMBOLS = 14, 12, 132
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -31,7 +40,11 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+
+
+def window_of(at):
+    """The window in whose middle a character stands, or the first."""
+    return np.maximum((np.asarray(at) - EDGE) // STEP, 0)
 
 
 def luhn(digits: str) -> bool:
@@ -53,10 +66,10 @@ def valid(kind: str, s: str) -> bool:
         parts = s.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p[-4:]) <= 255 and not p[:-4].strip("0") for p in parts)
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d)
+        return 13 <= len(d) <= 19 and luhn(d) and not set(s) - set("0123456789 -")
     if kind == "phone":
-        return 9 <= len(d) <= 15
-    return "@" in s.strip("@")
+        return 9 <= len(d) <= 15 and not set(s) - set("0123456789+(). -")
+    return "@" in s.strip("@") and not re.search(r"\s", s)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -245,54 +258,55 @@ class Tagger:
 
     weights: dict
 
-    def windows(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(text, start) of the overlapping windows that hold a digit or an at sign."""
-        out = []
-        for k, text in enumerate(texts):
-            starts = set()
-            for m in _TRIGGER.finditer(text):
-                j = m.start() // STEP
-                starts.add(j)
-                if j:
-                    starts.add(j - 1)
-            out += [(k, STEP * j) for j in sorted(starts)]
+    def tags(self, texts: list[str]) -> list[np.ndarray]:
+        """The tag of each character, 0 where nothing was decoded."""
+        marks = [symbols(t).astype(np.uint8) for t in texts]
+        out = [np.zeros(len(t), np.uint8) for t in texts]
+        last = [window_of(len(t) - 1) for t in texts]
+        todo = {(k, int(j)) for k, x in enumerate(marks) for j in np.unique(window_of(np.flatnonzero((x >= 48) & (x < 58) | (x == 64))))}
+        done: set[tuple[int, int]] = set()
+        while todo:
+            part = sorted(todo)[:BATCH]
+            done.update(part)
+            ids = np.full((WINDOW, len(part)), 10, np.int64)
+            for col, (k, j) in enumerate(part):
+                x = marks[k][STEP * j : STEP * j + WINDOW]
+                ids[: len(x), col] = x
+            found = viterbi(emissions(self.weights, ids)[0], self.weights["trans"])
+            for col, (k, j) in enumerate(part):
+                a, b = (STEP * j + EDGE if j else 0), STEP * j + EDGE + STEP
+                out[k][a:b] = (own := found[a - STEP * j : b - STEP * j, col])[: len(out[k]) - a]
+                if j and own[0] and (k, j - 1) not in done:
+                    todo.add((k, j - 1))
+                if j < last[k] and own[-1] and (k, j + 1) not in done:
+                    todo.add((k, j + 1))
+            todo.difference_update(part)
         return out
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """All spans of each text, by kind, then start."""
-        found: list[list] = [[] for _ in texts]
-        todo = self.windows(texts)
-        for i in range(0, len(todo), 2048):
-            part = todo[i : i + 2048]
-            ids = np.full((WINDOW, len(part)), 10, np.int64)
-            for j, (k, s) in enumerate(part):
-                x = symbols(texts[k][s : s + WINDOW])
-                ids[: len(x), j] = x
-            tags = viterbi(emissions(self.weights, ids)[0], self.weights["trans"])
-            for j in np.flatnonzero(tags.any(0)):
-                k, s = part[j]
-                t = tags[:, j]
-                for a in np.flatnonzero((t % 2 == 1)):
-                    b = a + 1
-                    while b < WINDOW and t[b] == t[a] + 1:
-                        b += 1
-                    b = min(b, len(texts[k]) - s)
-                    # spans at an edge inside the text belong to the neighbouring window
-                    if b > a and (a > 0 or s == 0) and (b < WINDOW or s + WINDOW >= len(texts[k])):
-                        found[k].append((min(a, WINDOW - b), KINDS[(t[a] - 1) // 2], int(s + a), int(s + b)))
-        return [self.reconciled(text, f) for text, f in zip(texts, found)]
+        out = []
+        for text, t in zip(texts, self.tags(texts)):
+            kind = (t + 1) // 2
+            before = np.concatenate([[0], kind[:-1]]) if len(t) else kind
+            starts = np.flatnonzero((kind > 0) & ((kind != before) | (t % 2 == 1)))
+            stops = np.flatnonzero((kind != before) | (t % 2 == 1))
+            ends = np.append(stops, len(t))[np.searchsorted(stops, starts, "right")]
+            found = [(KINDS[kind[a] - 1], a, b) for a, b in zip(starts.tolist(), ends.tolist())]
+            out.append(self.reconciled(text, found))
+        return out
 
     def reconciled(self, text: str, found: list) -> list[tuple[str, int, int]]:
-        """Pattern matches, then the network's whole and plausible spans, none over another."""
-        base = base_spans(text)
-        # all pattern matches stay, though kinds may overlap each other
-        taken = {x for _, a, b in base for x in range(a, b)}
-        out = list(base)
-        for _, kind, a, b in sorted(set(found), key=lambda x: (-x[0], x[2], x[3], x[1])):
+        """Pattern matches, then the network's whole and plausible spans that lie over none of them."""
+        out = base_spans(text)
+        # pattern matches of different kinds may overlap each other: all stay
+        taken = sorted((a, b) for _, a, b in out)
+        reach = list(accumulate((b for _, b in taken), max))
+        for kind, a, b in found:
             whole = not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
-            if whole and taken.isdisjoint(range(a, b)) and valid(kind, text[a:b]):
+            k = bisect_left(taken, (b,))
+            if whole and not (k and reach[k - 1] > a) and valid(kind, text[a:b]):
                 out.append((kind, a, b))
-                taken.update(range(a, b))
         return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 

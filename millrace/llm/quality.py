@@ -148,21 +148,28 @@ def cascade(rules: list[Rule], text: Column, words: Column) -> Column:
     return out
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Adds __rejected_by (null: kept) to all columns of ``docs``.
+def verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> Column:
+    """The rule that rejects a row of ``docs`` (null: kept), by the cascade in the order that a sample gives.
 
-    Null texts count as empty and fail the word count; repeated rows are judged
-    one by one; an empty table stays empty; extra columns pass through.
+    The sample is taken by Spark jobs while the plan is built. Null texts count
+    as empty and fail the word count; repeated rows are judged one by one.
     """
     ordered = [r for r, _, _ in rule_order(docs, rules, text)]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # bound to a name: a filter on the verdict would else split the text anew inside every lambda
-    return docs.withColumn("__rejected_by", let(words_of(whole), lambda w: cascade(ordered, whole, w)))
+    return let(words_of(whole), lambda w: cascade(ordered, whole, w))
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", column: str = "rejected_by") -> DataFrame:
+    """All columns of ``docs`` and ``column``, the rule that rejects the row; an empty table stays empty."""
+    if column in docs.columns:
+        raise ValueError(f"there is a column {column} already")
+    return docs.withColumn(column, verdict(docs, rules, text))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their columns as they were."""
-    return judge(docs).where(F.col("__rejected_by").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(verdict(docs).isNull())
 
 
 def report(docs: DataFrame) -> DataFrame:

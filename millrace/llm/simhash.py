@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialise, small_slices, texts_of
+from .common import ROW, discard, materialise, small_slices, texts_of
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SEGMENTS, WIDTH = 16, 4
@@ -102,8 +102,9 @@ def links(fps: DataFrame, small: int = SMALL_CELL) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) of all nodes in ``edges`` (a, b), by least labels and pointer jumping."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    held = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
+        label = held.select("node", "root")
         near = (
             both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         )
@@ -111,9 +112,11 @@ def components(edges: DataFrame) -> DataFrame:
         jump = label.select(F.col("node").alias("up"), F.col("root").alias("far"))
         new = materialise(step.join(jump, "up", "left").select("node", F.least("up", "far").alias("root"), "old"))
         done = new.where("root <> old").limit(1).count() == 0
-        label = new.select("node", "root")
+        discard(held)
+        held = new
         if done:
-            return label
+            discard(both)
+            return held.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

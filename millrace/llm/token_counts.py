@@ -1,15 +1,18 @@
-"""Edit-aware token counts: a tree of pre-token segments per document.
-
-Leaves are segments of SEGMENT pre-tokens with their text and token count, inner
-nodes sums. An edit re-encodes from the segment before the touched one (boundary
-context) until a pre-token starts where an untouched segment does; since a
-pre-token depends only on what follows its start, all later segments stand. Only
-the sums above changed leaves are renewed.
+"""Edit-aware token counts: a balanced tree of pre-token segments per document.
+
+Each node holds a segment of about SEGMENT pre-tokens, and the characters, tokens
+and segments of its subtree. A pre-token depends on its own text and on CONTEXT
+characters after it. So an edit re-encodes from the segment of the pre-token that
+such a distance before it may touch, until a pre-token starts where an untouched
+segment does; as nothing before its start matters to a pre-token, all later
+segments stand. The tree is split and joined around the new segments, which
+renews only the sums on the paths there, logarithmic in the document.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,112 +21,176 @@ from pyspark.sql import functions as F
 from .common import small_slices, texts_of
 
 SEGMENT = 32
-#: A pre-token's end may depend on so many characters after it.
-CONTEXT = 8
+#: A property of the pattern: characters after a pre-token that its end depends on.
+CONTEXT = 2
+#: Pre-tokens whose counts a worker remembers.
+CACHE = 700_000
 _held: dict = {}
 
 
+class Counts(dict):
+    """Tokens of pre-tokens, remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[piece] = n = len(self.encode(piece))
+        return n
+
+
 def encoding(path: str, pattern: str):
-    """(pre-token finder, counter of a pre-token's tokens), once per Python process."""
+    """(pre-tokens of a text, tokens of a pre-token), once per Python process."""
     if (path, pattern) not in _held:
         import regex
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _held[path, pattern] = (regex.compile(pattern).finditer, lambda s: len(e.encode_ordinary(s)))
+        _held[path, pattern] = (regex.compile(pattern).findall, Counts(e.encode_ordinary).__getitem__)
     return _held[path, pattern]
 
 
+class Node:
+    """A segment with the sums of its subtree."""
+
+    __slots__ = ("left", "right", "text", "n", "chars", "tokens", "size")
+
+    def __init__(self, text: str, n: int):
+        self.left = self.right = None
+        self.text, self.n = text, n
+        self.renew()
+
+    def renew(self) -> Node:
+        self.chars, self.tokens, self.size = len(self.text), self.n, 1
+        for child in (self.left, self.right):
+            if child is not None:
+                self.chars += child.chars
+                self.tokens += child.tokens
+                self.size += child.size
+        return self
+
+
+def built(nodes: list[Node], low: int = 0, high: int | None = None) -> Node | None:
+    """A balanced tree of fresh nodes in their order."""
+    high = len(nodes) if high is None else high
+    if low >= high:
+        return None
+    middle = (low + high) // 2
+    root = nodes[middle]
+    root.left, root.right = built(nodes, low, middle), built(nodes, middle + 1, high)
+    return root.renew()
+
+
+def in_order(node: Node | None) -> Iterator[Node]:
+    path = []
+    while path or node is not None:
+        while node is not None:
+            path.append(node)
+            node = node.left
+        node = path.pop()
+        yield node
+        node = node.right
+
+
 class SegmentTree:
-    """Token counts of a text under edits."""
+    """Token counts of a text under edits. The pattern must match every character."""
 
     def __init__(self, text: str, path: str, pattern: str):
-        self._key = lambda: (path, pattern)
         self.find, self.count = encoding(path, pattern)
-        self.leaves = self._segments(text)
-        self.encoded = len(self.leaves)
-        self._sum()
-
-    def _segments(self, text: str) -> list[tuple[str, int]]:
-        ends = [m.end() for m in self.find(text)]
-        cuts = [0, *ends[SEGMENT - 1 :: SEGMENT]]
-        if ends and cuts[-1] != ends[-1]:
-            cuts.append(ends[-1])
-        return [(s := text[a:b], self.count(s)) for a, b in zip(cuts, cuts[1:])]
-
-    def _sum(self, since: int = 0) -> None:
-        """Levels of (characters, tokens) sums; nodes left of leaf ``since`` are kept."""
-        level = [(len(s), n) for s, n in self.leaves]
-        old = self.levels if since else []
-        self.levels = [level]
-        while len(level) > 1:
-            since //= 2
-            k = len(self.levels)
-            keep = old[k][:since] if k < len(old) else []
-            level = keep + [tuple(map(sum, zip(*level[i : i + 2]))) for i in range(2 * len(keep), len(level), 2)]
-            self.levels.append(level)
+        self._dice = 1
+        #: segments encoded so far, and nodes whose sums were renewed by the last edit
+        self.root = built(self.segments(self.find(text)))
+        self.renewed = 0
+
+    def segments(self, pieces: list[str]) -> list[Node]:
+        return [Node("".join(part := pieces[i : i + SEGMENT]), sum(map(self.count, part))) for i in range(0, len(pieces), SEGMENT)]
 
     @property
     def total(self) -> int:
-        return self.levels[-1][0][1] if self.leaves else 0
-
-    def leaf_at(self, at: int) -> tuple[int, int]:
-        """(leaf that holds character ``at``, its first character), down from the root."""
-        i = start = 0
-        for level in reversed(self.levels[:-1]):
-            i *= 2
-            if i + 1 < len(level) and at >= start + level[i][0]:
-                start += level[i][0]
-                i += 1
-        return i, start
+        return self.root.tokens if self.root else 0
+
+    def __len__(self) -> int:
+        return self.root.size if self.root else 0
+
+    def _renew(self, node: Node) -> Node:
+        self.renewed += 1
+        return node.renew()
+
+    def _join(self, a: Node | None, b: Node | None) -> Node | None:
+        """Both trees as one; the root is drawn in proportion to their sizes, which keeps it balanced."""
+        if a is None or b is None:
+            return a or b
+        self._dice = self._dice * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
+        if (self._dice >> 33) % (a.size + b.size) < a.size:
+            a.right = self._join(a.right, b)
+            return self._renew(a)
+        b.left = self._join(a, b.left)
+        return self._renew(b)
+
+    def _split(self, node: Node | None, k: int) -> tuple[Node | None, Node | None]:
+        """(the first ``k`` segments, the others)."""
+        if node is None:
+            return None, None
+        before = node.left.size if node.left else 0
+        if k <= before:
+            a, node.left = self._split(node.left, k)
+            return a, self._renew(node)
+        node.right, b = self._split(node.right, k - before - 1)
+        return self._renew(node), b
+
+    def segment_at(self, at: int) -> tuple[int, int]:
+        """(number of the segment that holds character ``at``, or of the last one; its first character)."""
+        node, k, start = self.root, 0, 0
+        while True:
+            left = node.left
+            if left is not None and at < start + left.chars:
+                node = left
+                continue
+            if left is not None:
+                k, start = k + left.size, start + left.chars
+            if at < start + len(node.text) or node.right is None:
+                return k, start
+            k, start, node = k + 1, start + len(node.text), node.right
 
     def edit(self, at: int, removed: int, inserted: str) -> int:
         """Replace ``removed`` characters at ``at``; returns how many segments were encoded again."""
-        if not self.leaves:
-            self.__init__(inserted, *self._key())
-            return len(self.leaves)
-        first, start = self.leaf_at(at)
-        while first and at - start < CONTEXT:
-            first -= 1
-            start -= len(self.leaves[first][0])
-        last, end = first, start
-        while last < len(self.leaves) and (end <= at + removed or last == first):
-            end += len(self.leaves[last][0])
-            last += 1
-        old = "".join(s for s, _ in self.leaves[first:last])
+        self.renewed = 0
+        if self.root is None:
+            self.root = built(self.segments(self.find(inserted)))
+            return len(self)
+        first, start = self.segment_at(max(at - CONTEXT, 0))
+        before, rest = self._split(self.root, first)
+        old = ""
+        while rest is not None and (not old or len(old) < at - start + removed):
+            taken, rest = self._split(rest, 1)
+            old += taken.text
         text = old[: at - start] + inserted + old[at - start + removed :]
-        # take in further segments until a pre-token starts where one of them does
-        while last < len(self.leaves):
-            border = len(text)
-            text += self.leaves[last][0]
-            last += 1
-            if last == len(self.leaves):
+        while True:
+            after = ""
+            for node in in_order(rest):
+                after += node.text
+                if len(after) >= CONTEXT:
+                    break
+            pieces, end = [], 0
+            for piece in self.find(text + after):
+                if end >= len(text):
+                    break
+                pieces.append(piece)
+                end += len(piece)
+            # further segments are taken in until a pre-token starts where one of them does and small ones are made up
+            if rest is None or (end == len(text) and len(pieces) >= SEGMENT // 2):
                 break
-            tail = text + self.leaves[last][0]
-            if any(m.start() == border for m in self.find(tail)):
-                last -= 1
-                text = text[:border]
-                break
-        new = self._segments_of_prefix(text, last)
-        self.leaves[first:last] = new
-        self.encoded = len(new)
-        self._sum(first)
+            taken, rest = self._split(rest, 1)
+            text += taken.text
+        new = self.segments(pieces)
+        self.root = self._join(self._join(before, built(new)), rest)
         return len(new)
 
-    def _segments_of_prefix(self, text: str, last: int) -> list[tuple[str, int]]:
-        """Segments of ``text``, cut as they are with what follows it."""
-        after = "".join(s for s, _ in self.leaves[last : last + 2])
-        ends = [m.end() for m in self.find(text + after) if m.end() <= len(text)]
-        cuts = [0, *ends[SEGMENT - 1 :: SEGMENT]]
-        if ends and cuts[-1] != ends[-1]:
-            cuts.append(ends[-1])
-        out = []
-        for a, b in zip(cuts, cuts[1:]):
-            spans = [m for m in self.find(text[a:] + after) if m.end() <= b - a] if b == len(text) else None
-            out.append((text[a:b], sum(self.count(m.group()) for m in spans) if spans is not None else self.count(text[a:b])))
-        return out
-
 
 def edits_of(text: str) -> list[tuple[int, int, str]]:
     """The edits of the query: a word put in the middle, the first word removed, two joined at a quarter."""
@@ -142,13 +209,14 @@ def applied(text: str, edits: list[tuple[int, int, str]]) -> str:
 def count_edited(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_segments, n_encoded (segments encoded again by the edits), one row per row.
 
-    Null texts count as empty. Repeated rows give repeated rows; extra columns
-    are ignored; an empty table gives no rows.
+    Null texts count as empty. Bytes that are not valid UTF-8 are read as
+    U+FFFD. Repeated rows give repeated rows; extra columns are ignored; an
+    empty table gives no rows.
     """
 
     def one(text: str) -> tuple[int, int, int, int]:
         tree = SegmentTree(text, path, pattern)
-        before, size, again, n = tree.total, len(tree.leaves), 0, len(text)
+        before, size, again, n = tree.total, len(tree), 0, len(text)
         for at, removed, inserted in edits_of(text):
             at = min(at, n)
             removed = min(removed, n - at)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Verdict, host, path.
 RULES = (
@@ -27,9 +27,14 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
-#: Lineage is cut after so many rounds.
+#: Mass of either kind that may be left unplaced.
+TOLERANCE = 1e-3
+#: Lineage is cut, and the mass left is looked at, after so many rounds.
 CUT = 4
+#: Weight of an edge between a host and its parent domain; a link's weight is 1.
+HIERARCHY = 1.0
+#: Trust less distrust below which a host is blocked.
+LEAST_NET = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)href\s*=\s*[\x22\x27]?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\x22\x27\s>]+)"
@@ -58,35 +63,35 @@ def parent_of(host: Column) -> Column:
     return F.when(above != "", above)
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """source, target, weight over distinct pairs of hosts."""
+def host_edges(pages: DataFrame, hierarchy: float = HIERARCHY) -> DataFrame:
+    """source, target, weight over distinct pairs of hosts; ``pages`` has host and html."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
+    # summed by pair while the pages are read, so that they are read once; the outer form keeps the pattern out of a filter
     links = (
-        pages.select(
-            F.col("host").alias("source"),
-            F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))).alias("target"),
-        )
-        .withColumn("target", F.translate("target", UPPER, LOWER))
-        .where((F.col("source") != "") & (F.col("source") != F.col("target")))
+        pages.where(F.col("host") != "").select(F.col("host").alias("source"), F.explode_outer(found).alias("target"))
+        .groupBy("source", F.translate("target", UPPER, LOWER).alias("target")).agg(F.count("*").cast("double").alias("weight"))
     )
-    own = pages.select("host").distinct()
-    tree = own.unionByName(links.select(F.col("target").alias("host"))).select("host", parent_of(F.col("host")).alias("up")).where("up IS NOT NULL")
+    links = materialise(links)
+    hosts = links.select(F.explode(F.array("source", "target")).alias("host")).where("host IS NOT NULL").distinct()
+    tree = hosts.select("host", parent_of(F.col("host")).alias("up")).where("up IS NOT NULL")
     tree = tree.select(F.inline(F.array(
         F.struct(F.col("host").alias("source"), F.col("up").alias("target")),
         F.struct(F.col("up").alias("source"), F.col("host").alias("target")),
     ))).distinct()
     return (
-        links.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
-        .unionByName(tree.withColumn("weight", F.lit(1.0)))
-        .groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+        links.where("target IS NOT NULL AND source <> target")
+        .unionByName(tree.withColumn("weight", F.lit(float(hierarchy))))
+        .groupBy("source", "target").agg(F.sum("weight").alias("weight")).where("weight > 0")
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """kind, host, score: personalised PageRank for kind 'trust' along and 'distrust' against the edges.
 
-    ``seeds`` has kind, host, seed (sums to 1 per kind). Mass of hosts without
-    outgoing edges is dropped, which scales both kinds' scores alike nowhere
-    but at such ends.
+    ``seeds`` has kind, host, seed (sums to 1 per kind). Each round moves on the
+    mass that the one before placed; it ends once less than ``tolerance`` of
+    either kind can still come. Mass at hosts without outgoing edges goes no
+    further.
     """
     both = edges.select(F.inline(F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight"),
@@ -94,26 +99,33 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     )))
     out = both.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     both = materialise(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")))
-    score = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for k in range(1, rounds + 1):
-        moved = both.join(score.withColumnRenamed("host", "a"), ["kind", "a"]).select(
-            "kind", F.col("b").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score")
-        )
-        score = (
-            moved.unionByName(seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("score")))
-            .groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        )
-        if k % CUT == 0:
-            score = materialise(score)
-    return score
-
-
-def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    first = (1 - DAMPING) * F.col("seed")
+    state, written = seeds.select("kind", "host", first.alias("score"), first.alias("fresh")), None
+    while True:
+        for _ in range(CUT):
+            moved = both.join(state.where("fresh > 0").select("kind", F.col("host").alias("a"), "fresh"), ["kind", "a"])
+            came = DAMPING * F.col("fresh") * F.col("share")
+            state = (
+                moved.select("kind", F.col("b").alias("host"), came.alias("score"), came.alias("fresh"))
+                .unionByName(state.select("kind", "host", "score", F.lit(0.0).alias("fresh")))
+                .groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("fresh").alias("fresh"))
+            )
+        state = materialise(state)
+        if written is not None:
+            discard(written)
+        written = state
+        left = state.groupBy("kind").agg(F.sum("fresh").alias("fresh")).agg(F.max("fresh")).first()[0] or 0.0
+        if left * DAMPING / (1 - DAMPING) < tolerance:
+            return state.select("kind", "host", "score")
+
+
+def judge(pages: DataFrame, rules: tuple = RULES, least_net: float = LEAST_NET, hierarchy: float = HIERARCHY, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, one row per page.
 
-    Null urls and urls without '://' have an empty host and path, fit no rule
-    and are allowed. Hosts that no seed reaches are allowed. Repeated rows are
-    judged alike; extra columns are ignored; an empty table gives no rows.
+    A host without a rule is blocked if its trust less its distrust is below
+    ``least_net``; hosts that no seed reaches have zero of both. The scores come
+    by Spark jobs while the plan is built. Null urls and urls without '://' have an empty host and path, fit no rule
+    and are judged as hosts without seeds. Repeated rows are judged alike; extra columns are ignored; an empty table gives no rows.
     """
     url = F.col("url").cast("string")
     read = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
@@ -131,13 +143,9 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     ))).where("seed > 0")
     totals = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("n")).collect()}
     seeds = seeds.select("kind", "host", (F.col("seed") / F.when(F.col("kind") == "trust", F.lit(totals.get("trust", 1.0))).otherwise(F.lit(totals.get("distrust", 1.0)))).alias("seed"))
-    score = propagate(host_edges(read), seeds)
-    bad = (
-        score.groupBy("host").agg(
-            F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(-F.col("score"))).alias("net")
-        ).where("net < 0").select("host", F.lit(True).alias("bad"))
-    )
-    return ruled.select("page_id", "host", "path", "fit").join(bad, "host", "left").select(
-        "page_id", "host", "path", F.col("fit.rule").alias("rule"),
-        F.coalesce(F.col("fit.verdict"), F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+    score = propagate(host_edges(read, hierarchy), seeds, tolerance)
+    net = score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(-F.col("score"))).alias("net"))
+    by_net = F.when(F.coalesce("net", F.lit(0.0)) < least_net, F.lit("block")).otherwise(F.lit("allow"))
+    return ruled.select("page_id", "host", "path", "fit").join(net, "host", "left").select(
+        "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_net).alias("verdict")
     )
