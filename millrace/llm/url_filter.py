@@ -98,16 +98,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE)
         F.struct(F.lit("distrust").alias("kind"), F.col("target").alias("a"), F.col("source").alias("b"), "weight"),
     )))
     out = both.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
-    both = materialise(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")))
+    shares = both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share"))
+    # a row from each host to itself carries its score on, so that a round reads the state once
+    hosts = both.select("kind", F.explode(F.array("a", "b")).alias("a")).unionByName(seeds.select("kind", F.col("host").alias("a"))).distinct()
+    both = materialise(shares.unionByName(hosts.select("kind", "a", F.col("a").alias("b"), F.lit(None).cast("double").alias("share"))))
     first = (1 - DAMPING) * F.col("seed")
     state, written = seeds.select("kind", "host", first.alias("score"), first.alias("fresh")), None
+    came = DAMPING * F.col("fresh") * F.col("share")
     while True:
         for _ in range(CUT):
-            moved = both.join(state.where("fresh > 0").select("kind", F.col("host").alias("a"), "fresh"), ["kind", "a"])
-            came = DAMPING * F.col("fresh") * F.col("share")
             state = (
-                moved.select("kind", F.col("b").alias("host"), came.alias("score"), came.alias("fresh"))
-                .unionByName(state.select("kind", "host", "score", F.lit(0.0).alias("fresh")))
+                both.join(state.withColumnRenamed("host", "a"), ["kind", "a"])
+                .select("kind", F.col("b").alias("host"), F.coalesce(came, "score").alias("score"), F.coalesce(came, F.lit(0.0)).alias("fresh"))
                 .groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("fresh").alias("fresh"))
             )
         state = materialise(state)
@@ -124,8 +126,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, least_net: float = LEAST_NET,
 
     A host without a rule is blocked if its trust less its distrust is below
     ``least_net``; hosts that no seed reaches have zero of both. The scores come
-    by Spark jobs while the plan is built. Null urls and urls without '://' have an empty host and path, fit no rule
-    and are judged as hosts without seeds. Repeated rows are judged alike; extra columns are ignored; an empty table gives no rows.
+    by Spark jobs while the plan is built. Null urls and urls without '://' have
+    an empty host and path, fit no rule and are judged as hosts without seeds.
+    Repeated rows are judged alike; extra columns are ignored; an empty table
+    gives no rows.
     """
     url = F.col("url").cast("string")
     read = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
