@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import EMAIL, URL, let
+from millrace.functions.text import EMAIL, HASHTAG, SPACES, URL, let
 
 # Number words.
 SMALL = (
@@ -32,6 +34,25 @@ STOP_WORDS = (
     "shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 
+# Words that are dropped besides, before term statistics and before LDA.
+EXTRA_TERM_WORDS = ["didn", "amp", "quinta"]
+EXTRA_LDA_WORDS = ["dog", "pet", "hotel", "room", "stay", "friendly", "clean", "staff", "la", "quinta"]
+
+# Lemmas of irregular words.
+IRREGULAR = {
+    "is": "be", "are": "be", "was": "be", "were": "be", "am": "be", "been": "be", "has": "have", "had": "have", "does": "do", "did": "do",
+    "went": "go", "gone": "go", "said": "say", "made": "make", "took": "take", "taken": "take", "came": "come", "saw": "see", "seen": "see",
+    "got": "get", "gave": "give", "given": "give", "found": "find", "thought": "think", "told": "tell", "left": "leave", "felt": "feel",
+    "brought": "bring", "bought": "buy", "paid": "pay", "kept": "keep", "ate": "eat", "slept": "sleep", "children": "child", "people": "people",
+    "men": "man", "women": "woman", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose", "better": "well", "best": "well",
+}
+# Fixed rules: pattern of a word (its first group is the stem) and what follows the stem; the first that fits holds.
+LEMMA_RULES = (
+    ("^(.*[^aeiou])ies$", "y"), ("^(.+(?:ss|sh|ch|x|z))es$", ""), ("^(.+[^sui])s$", ""), ("^(.*[^aeiou])ied$", "y"),
+    *((f"^(.*[aeiouy]{c}){c}(?:ed|ing)$", "") for c in "bdgmnprt"),
+    ("^(.*[aeiouy].*[^e])ed$", ""), ("^(.*[aeiouy].*)ing$", ""),
+)
+
 #: Digits of the longest run that becomes words; longer runs stay as they are.
 MOST_DIGITS = 3 * (1 + len(SCALES))
 #: Private characters that stand for the apostrophes of contractions.
@@ -83,35 +104,68 @@ def _held(text: Column) -> Column:
     return text
 
 
-def clean_review(text: Column) -> Column:
-    """Number words; addresses, links and hashtags go; possessives split, contractions stay; other marks become spaces."""
-    text = number_words(text)
+def clean_characters(text: Column) -> Column:
+    """Addresses, links and hashtags go; possessives split, contractions stay; other marks become spaces."""
     text = F.when(text.rlike("['’]"), _held(text)).otherwise(text)
     for pattern, new in (
-        (EMAIL, ""), (URL, ""), (r"#\S+", ""), (r"([\p{L}\p{N}_])['’]s(?![\p{L}\p{N}_])", "$1 s"), ("[/-]", " "),
-        (rf"[^\p{{L}}\p{{N}}_\s'{STRAIGHT}{CURLY}]", " "), (r"[\s\p{Z}\x{85}]+", " "),
+        (EMAIL, ""), (URL, ""), (HASHTAG, ""), (r"([\p{L}\p{N}_])['’]s(?![\p{L}\p{N}_])", "$1 s"), ("[/-]", " "),
+        (rf"[^\p{{L}}\p{{N}}_\s'{STRAIGHT}{CURLY}]", " "), (SPACES, " "),
     ):
         text = F.regexp_replace(text, pattern, new)
     return F.trim(F.translate(text, STRAIGHT + CURLY, "'’"))
 
 
+def clean_review(text: Column) -> Column:
+    """Number words, then ``clean_characters``."""
+    return clean_characters(number_words(text))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens: letters joined by ' - _ first, then runs of word characters, then single marks."""
     lower = F.lower(F.translate(text, "’", "'"))
     return F.regexp_extract_all(lower, F.lit(r"[\p{L}](?:[\p{L}'_-])+[\p{L}]|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0))
 
 
-def content_words(text: Column, stop_words: list[str] = STOP_WORDS, keep_contractions: bool = False) -> Column:
-    """Plain lower-case words of the tokens without stop words; contractions may be exempt."""
+def content_words(text: Column, stop_words: list[str] = STOP_WORDS, keep_contractions: bool = True) -> Column:
+    """Plain lower-case words of the tokens without stop words; contractions are exempt unless said otherwise."""
     plain = F.filter(tokens(text), lambda t: t.rlike("^[a-z]+(?:[-'][a-z]+)*$"))
     stop = [w for w in stop_words if not (keep_contractions and w in CONTRACTIONS)]
     return F.filter(plain, lambda t: ~t.isin(stop))
 
 
-def without_stop_words(text: Column, keep_contractions: bool = False) -> Column:
+def without_stop_words(text: Column, keep_contractions: bool = True) -> Column:
     return F.array_join(content_words(text, keep_contractions=keep_contractions), " ")
 
 
+def plain_keyword(keyword: str, stop_words: list[str] = STOP_WORDS, keep_contractions: bool = True) -> str:
+    """``without_stop_words`` of a single string on the driver, for lexicons."""
+    lower = keyword.replace("’", "'").lower()
+    words = re.findall(r"[^\W\d_](?:[^\W\d_]|['_-])+[^\W\d_]|\w+|[^\s\w]", lower)
+    kept = [w for w in words if re.fullmatch(r"[a-z]+(?:[-'][a-z]+)*", w)]
+    return " ".join(w for w in kept if w not in stop_words or (keep_contractions and w in CONTRACTIONS))
+
+
+def without_words(text: Column, stop_words: list[str]) -> Column:
+    """The words between white space that aren't in the list, case kept; null gives an empty text."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(stop_words)), " ")
+
+
+def lemma(word: Column) -> Column:
+    """The base form: irregular words by table, else by the first rule that fits, else the word."""
+    out = word
+    for pattern, end in reversed(LEMMA_RULES):
+        out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, "$1" + end)).otherwise(out)
+    table = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    return F.coalesce(table[word], out)
+
+
+def lemmas(text: Column) -> Column:
+    """Every word's lemma, joined by spaces, spaced hyphens closed up; null gives an empty text."""
+    words = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "), " ")
+    return F.trim(F.replace(F.array_join(F.transform(words, lemma), " "), F.lit(" - "), F.lit("-")))
+
+
 def letters_only(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Words for topic models: lower case, all but a-z and spaces deleted, stop words dropped; null gives no words."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]", ""), r"\s+")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of what cleaning removes.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 URL = r"https?://\S+|www\.\S+"
+HASHTAG = r"#\S+"
+#: Runs of white space of any kind.
+SPACES = r"[\s\p{Z}\x{85}]+"
 
 
 def let(value: Column, body) -> Column:
@@ -14,15 +18,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda bound: body(bound))[0]
 
 
-def clean_characters(text: Column) -> Column:
-    """Without addresses, links and hashtags; possessives split; only letters, digits, _ and ' remain, spaces collapsed."""
-    text = F.regexp_replace(text, EMAIL, "")
-    text = F.regexp_replace(text, URL, "")
-    text = F.regexp_replace(text, r"#\S+", "")
-    text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s']", " ")
-    return F.trim(F.regexp_replace(text, r"[\s\p{Z}\x{85}]+", " "))
-
-
 def normalised_keyword(keyword: str) -> str:
     return keyword.strip().replace(" - ", "-")
 

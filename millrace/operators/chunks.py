@@ -66,13 +66,26 @@ def _placed(acc: Column, c: Column, threshold: float) -> Column:
     return F.when(at == 0, F.concat(acc, F.array(F.struct(c.alias("lead"), c.alias("best"))))).otherwise(grown)
 
 
-def chunked(rows: DataFrame, text: str, lexicon: dict[str, list[str]], exclusions: dict[str, list[str]], length: int = 128, threshold: float = 0.75) -> DataFrame:
+def chunked(
+    rows: DataFrame, text: str, lexicon: dict[str, list[str]], exclusions: dict[str, list[str]], length: int = 128, threshold: float = 0.75,
+    category: str | None = None,
+) -> DataFrame:
     """All columns with chunk_no, chunk and kw_category (struct of yes or no), a row per reduced window.
 
-    Tokens are the words between spaces. Rows without a trigger, null and empty
-    texts give none.
+    Tokens are the words between spaces. ``category`` names a column of
+    categories between white space: only theirs give triggers, and rows without
+    one give no chunk; with no such column all categories do. Rows without a
+    trigger, null and empty texts give none.
     """
-    triggers = F.flatten(F.array(*[trigger_spans(F.col(text), ks, exclusions.get(c, [])) for c, ks in lexicon.items()]))
+    lexicon = {c: ks for c, ks in lexicon.items() if ks}
+    own = F.split(F.coalesce(F.col(category), F.lit("")), r"\s+") if category else None
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spans = [
+        trigger_spans(F.col(text), ks, exclusions.get(c, [])) if own is None
+        else F.when(F.array_contains(own, c), trigger_spans(F.col(text), ks, exclusions.get(c, []))).otherwise(none)
+        for c, ks in lexicon.items()
+    ]
+    triggers = F.flatten(F.array(*spans))
     # tokens before a position: spaces before it
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     held = (

@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def classify(rows: DataFrame, text: str, labels: list[str], load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 16, threshold: float = 0.5) -> DataFrame:
-    """All columns with prediction, a struct of yes or no per label.
+def classify(
+    rows: DataFrame, text: str, labels: list[str], load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 16, threshold: float = 0.5,
+    column: str = "bert_prediction",
+) -> DataFrame:
+    """All columns with ``column``, a struct of yes or no per label.
 
     ``load()`` runs once per worker and returns texts -> logits in the order of
     ``labels``; a label is yes if its sigmoid reaches ``threshold``.
     """
     logits = F.pandas_udf(_batched(load, batch), "array<double>")
     yes = lambda i: F.when(1 / (1 + F.exp(-F.col("__z")[i])) >= threshold, "yes").otherwise("no")
-    return rows.withColumn("__z", logits(F.coalesce(F.col(text), F.lit("")))).withColumn("prediction", F.struct(*[yes(i).alias(k) for i, k in enumerate(labels)])).drop("__z")
+    return rows.withColumn("__z", logits(F.coalesce(F.col(text), F.lit("")))).withColumn(column, F.struct(*[yes(i).alias(k) for i, k in enumerate(labels)])).drop("__z")
 
 
 def _batched(load, batch):

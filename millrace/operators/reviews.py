@@ -1,11 +1,16 @@
-"""Operators of the review funnel: cleaning, keyword extraction, status, complement, term statistics."""
+"""Operators of the review funnel: cleaning, keyword extraction, status, export by category, complement, term statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_characters, keyword_pattern
+from millrace.functions import english
+from millrace.functions.text import keyword_pattern
+
+AGREE, DISPUTED, UNKNOWN = "kw_bert_agree", "kw_bert_disputed", "unknown"
+#: Columns of a category's export.
+EXPORTED = ("original_id", "review", "review_cleaned", "chunk", "keywords_found", "status")
 
 
 def distinct_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,8 +23,34 @@ def distinct_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return marked.join(first, key, "left_semi")
 
 
+def counters(rows: DataFrame, text: str) -> DataFrame:
+    """One row: all rows, those without a text, and those whose text stands in another row that stays."""
+    # counted by digest first, so that no text is shuffled and no task holds all of them
+    by = rows.groupBy(F.sha2(F.col(text), 256).alias("h")).agg(F.count("*").alias("n"))
+    return by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicates"),
+    )
+
+
+def with_cleaned(rows: DataFrame, text: str) -> DataFrame:
+    """All columns with <text>_cleaned, the text without stop words."""
+    return rows.withColumn(f"{text}_cleaned", english.without_stop_words(F.col(text)))
+
+
+def prepared_lexicon(lexicon: dict) -> dict:
+    """The lexicon with stop words taken out of its keywords, as out of the texts; keywords of stop words alone go.
+
+    Entries that aren't lists stay as they are.
+    """
+    plain = lambda ks: [p for k in ks if (p := english.plain_keyword(k))]
+    return {c: plain(ks) if isinstance(ks, (list, tuple)) else ks for c, ks in lexicon.items()}
+
+
 def extract(rows: DataFrame, lexicon: dict[str, list[str]], exclusions: dict[str, list[str]], text: str) -> DataFrame:
     """All columns with category and keywords_found, a row per category that has a keyword once exclusions are blanked."""
+    lexicon = {c: ks for c, ks in lexicon.items() if ks}
     found = []
     for category, keywords in lexicon.items():
         masked = F.col(text)
@@ -27,6 +58,8 @@ def extract(rows: DataFrame, lexicon: dict[str, list[str]], exclusions: dict[str
             masked = F.regexp_replace(masked, "(?i)" + keyword_pattern(e), " ")
         hits = F.array_compact(F.array(*[F.when(masked.rlike("(?i)" + keyword_pattern(k)), F.lit(k)) for k in keywords]))
         found.append(F.struct(F.lit(category).alias("category"), F.array_join(hits, ", ").alias("keywords_found")))
+    if not found:
+        return rows.select("*", F.lit("").alias("category"), F.lit("").alias("keywords_found")).where("false")
     # one cheap pattern passes over the texts without any keyword
     anything = "(?i)" + "|".join(f"(?:{keyword_pattern(k)})" for ks in lexicon.values() for k in ks)
     return (
@@ -36,8 +69,13 @@ def extract(rows: DataFrame, lexicon: dict[str, list[str]], exclusions: dict[str
     )
 
 
-def with_cleaned(rows: DataFrame, text: str) -> DataFrame:
-    return rows.withColumn(f"{text}_cleaned", clean_characters(F.col(text)))
+def keyword_presence(text: Column, lexicon: dict[str, list[str]]) -> Column:
+    """Struct of yes or no per category: whether any of its keywords stands in the text."""
+    def yes(ks: list[str]) -> Column:
+        pattern = "(?i)" + "|".join(f"(?:{keyword_pattern(k)})" for k in ks)
+        return F.when(text.rlike(pattern) if ks else F.lit(False), "yes").otherwise("no")
+
+    return F.struct(*[yes(ks).alias(c) for c, ks in lexicon.items()])
 
 
 def complement(reference: DataFrame, category: DataFrame, key: str) -> DataFrame:
@@ -46,21 +84,60 @@ def complement(reference: DataFrame, category: DataFrame, key: str) -> DataFrame
 
 
 def with_status(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
-    """agree if both columns are equal (or both missing), else dispute."""
-    return rows.withColumn("status", F.when(F.col(expected).eqNullSafe(F.col(predicted)), "agree").otherwise("dispute"))
+    """Adds status: whether both columns are equal (or both missing), be they scalars or structs."""
+    return rows.withColumn("status", F.when(F.col(expected).eqNullSafe(F.col(predicted)), AGREE).otherwise(DISPUTED))
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:
-    return rows.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias(column)).agg(F.count("*").alias("n"))
+    """Rows per value, null as unknown; most frequent first, then by value."""
+    return rows.groupBy(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias(column)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def top_terms(rows: DataFrame, group: str, text: str, n: int) -> DataFrame:
-    """The ``n`` most frequent lower-case words of each group (ties by word), with count and document frequency."""
-    from pyspark.sql import Window
+def found_keywords(found: Column) -> Column:
+    """The set of a comma-joined list's trimmed, non-blank items."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(found, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+
 
-    words = rows.select(group, F.array_remove(F.split(F.lower(clean_characters(F.col(text))), " "), "").alias("w"))
+def category_export(results: DataFrame, lexicon: dict, prediction: str = "bert_prediction") -> DataFrame:
+    """category and EXPORTED, a row per category predicted yes that has one of its (raw) keywords among those found.
+
+    Categories with an empty list, or that the prediction doesn't know, export
+    nothing; a missing status is unknown. One pass makes all categories.
+    """
+    known = results.schema[prediction].dataType.fieldNames()
+    held = results if "status" in results.columns else results.withColumn("status", F.lit(None).cast("string"))
+    wanted = {c: sorted(set(ks)) for c, ks in lexicon.items() if c in known and isinstance(ks, (list, tuple)) and ks}
+    if not wanted:
+        return held.select(F.lit("").alias("category"), *EXPORTED).where("false")
+    marks = F.filter(F.array(*[
+        F.when(
+            (F.col(f"`{prediction}`.`{c}`") == "yes") & (F.size(F.array_intersect(found_keywords(F.col("keywords_found")), F.array(*map(F.lit, ks)))) > 0), F.lit(c)
+        ) for c, ks in wanted.items()
+    ]), lambda x: x.isNotNull())
+    out = held.withColumn("status", F.coalesce("status", F.lit(UNKNOWN)))
+    return out.select(F.explode_outer(marks).alias("category"), *EXPORTED).where("category IS NOT NULL")
+
+
+def category_complements(reference: DataFrame, exported: DataFrame, key: str, text: str, categories: list[str]) -> DataFrame:
+    """category, original_id, review, review_cleaned: of each category that exports a row, the reference rows that it lacks."""
+    ids = exported.select("category", F.col("original_id").alias(key)).distinct()
+    made = [
+        complement(reference, ids.where(F.col("category") == c), key).select(
+            F.lit(c).alias("category"), F.col(key).alias("original_id"), F.col(text).alias("review"), F.col(f"{text}_cleaned").alias("review_cleaned")
+        ) for c in categories
+    ]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.join(F.broadcast(ids.select("category").distinct()), "category", "left_semi")  # as many rows as categories
+
+
+def top_terms(rows: DataFrame, group: str, text: str, n: int) -> DataFrame:
+    """The ``n`` most frequent lower-case words of each group (ties by word), with count and rank."""
+    words = F.split(F.lower(english.clean_characters(F.col(text))), " ")
+    # the outer form keeps the words' expression out of an inferred filter
     counts = (
-        words.select(group, F.explode("w").alias("word"), F.size("w").alias("len"))
+        rows.select(group, F.explode_outer(words).alias("word")).where("word <> ''")
         .groupBy(group, "word").agg(F.count("*").alias("n"))
     )
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "word"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ def tfidf(rows: DataFrame, key: str, terms: str, min_df: int = 5, max_df: float
     ``terms`` is an array column. N counts all rows. With ``max_features`` only
     the terms of most occurrences stay (ties by term).
     """
-    counts = rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # one exchange by key serves counts, document frequencies and norms; the outer form keeps the terms' expression out of an inferred filter
+    held = rows.select(key, F.col(terms).alias("__terms")).repartition(F.col(key))
+    counts = held.select(key, F.explode_outer("__terms").alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("tf"))
     total = rows.agg(F.count("*").alias("total"))
     terms_df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(total), F.lit(True))  # one row
     terms_df = terms_df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("total")))
@@ -35,8 +38,8 @@ def tfidf(rows: DataFrame, key: str, terms: str, min_df: int = 5, max_df: float
         terms_df = terms_df.orderBy(F.desc("cf"), "term").limit(max_features)
     idf = terms_df.select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.withColumn("weight", F.col("raw") / norm).select(key, "term", "weight")
 
 
 def discriminative(rows: DataFrame, key: str, terms: str, inside: Column, **limits) -> DataFrame:
@@ -52,16 +55,21 @@ def discriminative(rows: DataFrame, key: str, terms: str, inside: Column, **limi
     return means.withColumn("ratio", F.col("score_in") / F.greatest("score_out", F.lit(1e-6)))
 
 
+def discriminants(table: DataFrame, least_ratio: float = 1.5, n: int = 80) -> DataFrame:
+    """The ``n`` terms of ``discriminative`` with the largest inside score among those of the ratio or more (ties by term), with rank."""
+    first = table.where(F.col("ratio") >= least_ratio).orderBy(F.desc(F.round("score_in", 12)), "term").limit(n)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score_in", 12)), "term")))  # n rows
+
+
 def collocations(rows: DataFrame, words: str, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
     """a, b, score of adjacent words with (n_ab - min_count) * vocabulary / (n_a * n_b) over the threshold."""
     w = F.col(words)
-    single = rows.select(F.explode(w).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    # one pass: each word with its successor, the last one with none, so that words are counted by summing over successors
+    places = F.transform(w, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b")))
+    counts = rows.select(F.explode_outer(places).alias("p")).where("p IS NOT NULL").groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
+    single = counts.groupBy(F.col("a").alias("w")).agg(F.sum("n_ab").alias("n"))
     size = single.agg(F.count("*").alias("v"))
-    pairs = (
-        rows.where(F.size(w) > 1)
-        .select(F.explode(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b")))).alias("p"))
-        .groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
-    )
+    pairs = counts.where(F.col("b").isNotNull() & (F.col("n_ab") >= min_count))
     one = lambda x: single.select(F.col("w").alias(x), F.col("n").alias("n_" + x))
     score = (F.col("n_ab") - min_count) * F.col("v") / (F.col("n_a") * F.col("n_b"))
     return pairs.join(one("a"), "a").join(one("b"), "b").join(F.broadcast(size), F.lit(True)).select("a", "b", score.alias("score")).where(F.col("score") > threshold)
@@ -69,7 +77,7 @@ def collocations(rows: DataFrame, words: str, min_count: int = 5, threshold: flo
 
 def class_tfidf(rows: DataFrame, group: str, terms: str, n: int = 5) -> DataFrame:
     """The ``n`` terms of each group with the largest tf * ln(1 + A / f); A: words per group, f: a term's count overall."""
-    counts = rows.select(group, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.count("*").alias("n"))
+    counts = rows.select(group, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(group, "term").agg(F.count("*").alias("n"))
     sizes = counts.groupBy(group).agg(F.sum("n").alias("size"))
     overall = counts.groupBy("term").agg(F.sum("n").alias("f"))
     average = sizes.agg(F.avg("size").alias("avg"))
@@ -80,58 +88,65 @@ def class_tfidf(rows: DataFrame, group: str, terms: str, n: int = 5) -> DataFram
     return scored.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def _weights(h: np.ndarray, v: np.ndarray, columns: np.ndarray, inner: int) -> np.ndarray:
-    """Nonnegative weights of one row under topics ``h``, by multiplicative steps."""
-    part, gram = h[:, columns], h @ h.T
-    w = np.full(len(h), 1.0 / len(h))
-    target = part @ v
+def _solved(batch: pa.RecordBatch, h: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight of every entry; topic weights of every row) of a batch under topics ``h``, by multiplicative steps."""
+    lists = batch.column(batch.schema.get_field_index("v"))
+    sizes = np.diff(np.asarray(lists.offsets))
+    entries = lists.flatten()
+    at, x = np.asarray(entries.field("i")), np.asarray(entries.field("w"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    target = np.stack([np.bincount(row, x * part[at], len(sizes)) for part in h], 1)
+    gram = h @ h.T
+    w = np.full((len(sizes), len(h)), 1.0 / len(h))
     for _ in range(inner):
-        w *= target / (gram @ w + 1e-12)
-    return w
+        w *= target / (w @ gram + 1e-12)
+    return row, at, x, w
 
 
 def nmf(weights: DataFrame, key: str, k: int = 8, rounds: int = 30, inner: int = 20, seed: int = 42, keys: DataFrame | None = None) -> tuple[DataFrame, pd.DataFrame]:
     """Topic weights per key (key, topics, dominant_topic) and the topics (term by topic).
 
     With ``keys`` there is one row for each of its rows: keys without a weight,
-    whose texts hold none of the terms, get zeros and topic 0.
+    whose texts hold none of the terms, get zeros and topic 0. The number of
+    topics is ``clamped`` by the number of keys.
 
     ``weights`` is the long form of ``tfidf`` with bounded ``max_features``: only
     the topics, k by terms, reach the driver; rows are solved anew against them
-    in each round and summed per partition.
+    in each round, summed per partition and then per topic.
     """
     vocabulary = sorted(r[0] for r in weights.select("term").distinct().collect())
-    spark, index = weights.sparkSession, {t: i for i, t in enumerate(vocabulary)}
-    k = max(1, k)
+    spark = weights.sparkSession
+    k = clamped(k, (keys if keys is not None else weights.select(key).distinct()).limit(max(k, 1)).count())
     h = np.random.default_rng(seed).uniform(0.1, 1.0, (k, len(vocabulary)))
-    vectors = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("v")).persist()
-
-    def solved(rows: pd.Series, held: np.ndarray):
-        for v in rows:
-            at = np.array([index[x["term"]] for x in v])
-            x = np.array([x["weight"] for x in v])
-            yield at, x, _weights(held, x, at, inner)
+    index = spark.createDataFrame(pd.DataFrame({"term": vocabulary, "i": range(len(vocabulary))}), "term string, i int")
+    entries = weights.join(F.broadcast(index), "term")  # max_features rows
+    vectors = entries.groupBy(key).agg(F.collect_list(F.struct("i", F.col("weight").alias("w"))).alias("v")).persist()
 
     for _ in range(rounds if vocabulary else 0):
-        def sums(frames, held=h):
+        def sums(batches, held=h):
             up, gram = np.zeros_like(held), np.zeros((k, k))
-            for f in frames:
-                for at, x, w in solved(f["v"], held):
-                    up[:, at] += np.outer(w, x)
-                    gram += np.outer(w, w)
-            yield pd.DataFrame({"i": range(k * (len(vocabulary) + k)), "x": np.concatenate([up.ravel(), gram.ravel()])})
-
-        got = vectors.select("v").mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
-        up, gram = got[: h.size].reshape(h.shape), got[h.size :].reshape(k, k)
-        h = h * up / (gram @ h + 1e-12)
-
-    def final(frames):
-        for f in frames:
-            ws = [w for _, _, w in solved(f["v"], h)]
-            yield pd.DataFrame({key: f[key], "topics": [w.tolist() for w in ws], "dominant_topic": [int(w.argmax()) for w in ws]})
+            for b in batches:
+                row, at, x, w = _solved(b, held, inner)
+                for t in range(k):
+                    up[t] += np.bincount(at, x * w[row, t], held.shape[1])
+                gram += w.T @ w
+            rows = list(np.hstack([up, gram]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["t", "x"])
+
+        def total(t, f):
+            return pd.DataFrame({"t": [t[0]], "x": [np.sum(np.stack(f["x"].to_numpy()), 0)]})
+
+        got = vectors.select("v").mapInArrow(sums, "t int, x array<double>").groupBy("t").applyInPandas(total, "t int, x array<double>").collect()
+        full = np.array([r["x"] for r in sorted(got, key=lambda r: r["t"])])
+        h = h * full[:, : h.shape[1]] / (full[:, h.shape[1] :] @ h + 1e-12)
+
+    def final(batches):
+        for b in batches:
+            w = _solved(b, h, inner)[3]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(w), pa.list_(pa.float64())), pa.array(w.argmax(1), pa.int32())], [key, "topics", "dominant_topic"])
 
     kind = weights.schema[key].dataType.simpleString()
-    out = vectors.mapInPandas(final, f"{key} {kind}, topics array<double>, dominant_topic int")
+    out = vectors.mapInArrow(final, f"{key} {kind}, topics array<double>, dominant_topic int")
     if keys is not None:
         named = out.withColumnRenamed(key, "__key")
         out = keys.select(key).join(named, F.col(key).eqNullSafe(F.col("__key")), "left").select(
@@ -140,6 +155,33 @@ def nmf(weights: DataFrame, key: str, k: int = 8, rounds: int = 30, inner: int =
     return out, pd.DataFrame(h.T, index=vocabulary)
 
 
+def clamped(k: int, n: int) -> int:
+    """A number of topics between 1 and the number of documents."""
+    return max(1, min(k, n))
+
+
+def topic_words(topics: pd.DataFrame, n: int = 10) -> list[tuple[int, int, str, float]]:
+    """(topic, rank, word, weight) of the ``n`` heaviest words of each topic; ``topics`` is term by topic, ties go by word."""
+    out = []
+    for t in topics.columns:
+        first = sorted(topics[t].items(), key=lambda x: (-x[1], x[0]))[:n]
+        out += [(int(t), k + 1, w, float(x)) for k, (w, x) in enumerate(first)]
+    return out
+
+
+def topic_report(words: list[tuple[int, int, str, float]]) -> list[str]:
+    """Lines of a report: each topic's words with weights of three decimals."""
+    lines = ["===== TOP WORDS PER TOPIC =====", ""]
+    for t in sorted({w[0] for w in words}):
+        lines += [f"--- Topic {t} ---", *(f"{w} ({x:.3f})" for topic, _, w, x in words if topic == t), "-" * 30]
+    return lines
+
+
+def topic_label(category: str, topic: Column) -> Column:
+    """<category>_T<topic>."""
+    return F.format_string("%s_T%d", F.lit(category), topic)
+
+
 def phrases(rows: DataFrame, words: str, min_count: int = 5, threshold: float = 10.0) -> Callable[[Column], Column]:
     """A function that joins adjacent words scoring over the threshold by an underscore, from the left and without overlap.
 
@@ -170,19 +212,28 @@ def phrases(rows: DataFrame, words: str, min_count: int = 5, threshold: float =
     return joined
 
 
-def lda(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 2**31 - 1, seed: int = 42) -> DataFrame:
-    """All columns with topics and dominant_topic by Spark's online LDA over words and joined pairs (``phrases``).
+def lda(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 2**31 - 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """All columns with topics and dominant_topic by Spark's online LDA over words and joined pairs (``phrases``); and each topic's ten words.
 
-    Each of the ``passes`` draws as many documents as there are; Spark draws
-    them with replacement, so a single pass may leave some out.
+    The second frame has topic, rank, word, weight. Each of the ``passes`` draws
+    as many documents as there are; Spark draws them with replacement, so a
+    single pass may leave some out. A document without a word has no topic: its
+    dominant_topic is null.
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     held = rows.withColumn("__words", phrases(rows, words)(F.col(words)))
-    counts = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary).fit(held).transform(held).persist()
+    counter = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary).fit(held)
+    counts = counter.transform(held)
     # the default rate would take 5 % of the documents a pass
-    model = LDA(k=k, maxIter=passes, seed=seed, featuresCol="__counts", topicDistributionCol="__topics", optimizer="online", subsamplingRate=1.0).fit(counts)
-    out = model.transform(counts).withColumn("topics", vector_to_array("__topics")).drop("__words", "__counts", "__topics")
-    return out.withColumn("dominant_topic", (F.array_position("topics", F.array_max("topics")) - 1).cast("int"))
+    model = LDA(k=k, maxIter=passes, seed=seed, featuresCol="__counts", topicDistributionCol="__topics", optimizer="online", subsamplingRate=1.0).fit(counts.persist())
+    counts.unpersist()
+    out = model.transform(counts).withColumn("topics", vector_to_array("__topics"))
+    best = (F.array_position("topics", F.array_max("topics")) - 1).cast("int")
+    out = out.withColumn("dominant_topic", F.when(F.size("__words") > 0, best)).drop("__words", "__counts", "__topics")
+    described = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
+    names = rows.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "i int, word string")
+    words_of = described.join(names, F.col("x.termIndices") == F.col("i")).select("topic", (F.col("rank") + 1).alias("rank"), "word", F.col("x.termWeights").alias("weight"))
+    return out, words_of

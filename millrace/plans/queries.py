@@ -7,41 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import english as E
 from millrace.functions import text as T
-from millrace.operators import reviews as R
+from millrace.operators import funnel, reviews as R
 from millrace.plans import topics
 
-LEXICON = {"place": ["there", "on the"], "speech": ["that", "und-der"]}
-EXCLUSIONS = {"place": ["there is"]}
+#: Keywords, exclusions; the last category has none and is passed over.
+LEXICON = {"place": ["ther", "attion to thanedble"], "speech": ["thon", "thin-thor", "die und das"], "empty": []}
+EXCLUSIONS = {"place": ["ther and thon"], "speech": []}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _prepared(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text", E.clean_review(F.col("text")))
+    return R.with_cleaned(docs, "text")
+
+
+def _extracted(spark, sf_dir):
+    return R.extract(_prepared(spark, sf_dir), R.prepared_lexicon(LEXICON), R.prepared_lexicon(EXCLUSIONS), "text_cleaned")
+
+
+def _predicted(spark, sf_dir):
+    """Extracted reviews as whole chunks; a stand-in for the classifier says yes by the length of the text."""
+    says = lambda k: F.when(F.length("text") % 3 != k, "yes").otherwise("no")
+    return R.with_status(
+        _extracted(spark, sf_dir).select(
+            F.col("doc_id").alias("original_id"), F.col("text").alias("review"), F.col("text_cleaned").alias("review_cleaned"), F.col("text").alias("chunk"),
+            "keywords_found", R.keyword_presence(F.col("text"), {c: ks for c, ks in LEXICON.items() if ks}).alias("kw_category"),
+            F.struct(says(0).alias("place"), says(1).alias("speech")).alias("bert_prediction"),
+        ), "kw_category", "bert_prediction",
+    )
+
+
 def dedup(spark, sf_dir):
     return R.distinct_texts(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "text")
 
 
+def counters(spark, sf_dir):
+    return R.counters(_table(spark, sf_dir, "documents"), "text")
+
+
 def cleaned(spark, sf_dir):
-    docs = R.with_cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return docs.select("doc_id", "text_cleaned")
+    return _prepared(spark, sf_dir).select("doc_id", "text_cleaned")
 
 
 def extraction(spark, sf_dir):
-    docs = R.with_cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return R.extract(docs, LEXICON, EXCLUSIONS, "text_cleaned").select("doc_id", "category", "keywords_found")
+    return _extracted(spark, sf_dir).select("doc_id", "category", "keywords_found")
 
 
 def complement(spark, sf_dir):
-    docs = R.with_cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    found = R.extract(docs, {"place": LEXICON["place"]}, EXCLUSIONS, "text_cleaned")
-    return R.complement(docs.select("doc_id"), found, "doc_id")
+    found = _extracted(spark, sf_dir).where("category = 'place'")
+    return R.complement(_table(spark, sf_dir, "documents").select("doc_id"), found, "doc_id")
 
 
 def status_stats(spark, sf_dir):
-    rows = R.with_status(_table(spark, sf_dir, "labels"), "quality", "toxic")
-    return R.histogram(rows, "status")
+    return R.histogram(_predicted(spark, sf_dir), "status")
+
+
+def category_export(spark, sf_dir):
+    return R.category_export(_predicted(spark, sf_dir), LEXICON).select("category", "original_id", "keywords_found", "status")
+
+
+def category_complements(spark, sf_dir):
+    exported = R.category_export(_predicted(spark, sf_dir), LEXICON)
+    return R.category_complements(_prepared(spark, sf_dir), exported, "doc_id", "text", [c for c, ks in LEXICON.items() if ks]).select("category", "original_id")
+
+
+def review_funnel(spark, sf_dir):
+    """The funnel as one run, with a stand-in for the classifier: yes for chunks of an even number of characters."""
+    load = lambda: lambda texts: [[1.0 if len(t) % 2 == 0 else -1.0] * 2 for t in texts]
+    made = funnel.run(_table(spark, sf_dir, "documents"), "doc_id", "text", LEXICON, EXCLUSIONS, load, length=16)
+    return made.chunks.select("original_id", "chunk", "keywords_found", F.col("kw_category.place").alias("place"), F.col("kw_category.speech").alias("speech"), "status")
 
 
 def source_counts(spark, sf_dir):
@@ -58,38 +97,52 @@ def page_text(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "review_dedup": dedup, "review_cleaned": cleaned, "review_extraction": extraction, "review_complement": complement,
-        "status_stats": status_stats, "source_counts": source_counts, "top_words": top_words, "page_text": page_text,
+        "review_dedup": dedup, "review_counters": counters, "review_cleaned": cleaned, "review_extraction": extraction, "review_complement": complement,
+        "status_stats": status_stats, "category_export": category_export, "category_complements": category_complements, "review_funnel": review_funnel,
+        "source_counts": source_counts, "top_words": top_words, "page_text": page_text,
     } | topics.queries()
 
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '', 'g'), 'https?://\S+|www\.\S+', '', 'g'), '#\S+', '', 'g'),
- '[^\p{L}\p{N}_\s'']', ' ', 'g'), '[\s\p{Z}\x{85}]+', ' ', 'g'))"""
-_FOUND = rf"""
-WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),
-m AS (SELECT doc_id, t, regexp_replace(t, '(?i)there\s+is', ' ', 'g') AS place FROM c),
+_FOUND = topics.CLEANED + r""",
+m AS (SELECT doc_id, t, w, regexp_replace(w, '(?i)ther\s+thon', ' ', 'g') AS place FROM plain),
 f AS (
-  SELECT doc_id, 'place' AS category, concat_ws(', ', CASE WHEN regexp_matches(place, '(?i)\bthere\b') THEN 'there' END,
-    CASE WHEN regexp_matches(place, '(?i)on\s+the') THEN 'on the' END) AS keywords_found FROM m
+  SELECT doc_id, t, w, 'place' AS category, concat_ws(', ', CASE WHEN regexp_matches(place, '(?i)\bther\b') THEN 'ther' END,
+    CASE WHEN regexp_matches(place, '(?i)attion\s+thanedble') THEN 'attion thanedble' END) AS keywords_found FROM m
+  UNION ALL
+  SELECT doc_id, t, w, 'speech', concat_ws(', ', CASE WHEN regexp_matches(w, '(?i)\bthon\b') THEN 'thon' END,
+    CASE WHEN regexp_matches(w, '(?i)thin[- ]thor') THEN 'thin-thor' END, CASE WHEN regexp_matches(w, '(?i)die\s+und\s+das') THEN 'die und das' END) FROM m
+), found AS (SELECT * FROM f WHERE keywords_found <> ''),
+judged AS (
+  SELECT *, CASE WHEN length(t) % 3 <> 0 THEN 'yes' ELSE 'no' END AS says_place, CASE WHEN length(t) % 3 <> 1 THEN 'yes' ELSE 'no' END AS says_speech,
+    CASE WHEN regexp_matches(t, '(?i)\bther\b|attion\s+to\s+thanedble') THEN 'yes' ELSE 'no' END AS has_place,
+    CASE WHEN regexp_matches(t, '(?i)\bthon\b|thin[- ]thor|die\s+und\s+das') THEN 'yes' ELSE 'no' END AS has_speech
+  FROM found
+), status AS (
+  SELECT *, CASE WHEN says_place = has_place AND says_speech = has_speech THEN 'kw_bert_agree' ELSE 'kw_bert_disputed' END AS status FROM judged
+), export AS (
+  SELECT 'place' AS export, * FROM status WHERE says_place = 'yes' AND len(list_intersect(string_split(keywords_found, ', '), ['ther', 'attion to thanedble'])) > 0
   UNION ALL
-  SELECT doc_id, 'speech', concat_ws(', ', CASE WHEN regexp_matches(t, '(?i)\bthat\b') THEN 'that' END,
-    CASE WHEN regexp_matches(t, '(?i)und[- ]der') THEN 'und-der' END) FROM m
+  SELECT 'speech', * FROM status WHERE says_speech = 'yes' AND len(list_intersect(string_split(keywords_found, ', '), ['thon', 'thin-thor', 'die und das'])) > 0
 )
 """
+_TEXT = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '{T.EMAIL}', '', 'g'), '{T.URL}', '', 'g'), '{T.HASHTAG}', '', 'g'), '[/-]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '{T.SPACES}', ' ', 'g'))"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "review_dedup": "SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text",
-        "review_cleaned": f"SELECT doc_id, {_CLEAN} AS text_cleaned FROM documents",
-        "review_extraction": _FOUND + "SELECT * FROM f WHERE keywords_found <> ''",
-        "review_complement": _FOUND + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f WHERE category = 'place' AND keywords_found <> '')",
-        "status_stats": "SELECT CASE WHEN quality IS NOT DISTINCT FROM toxic THEN 'agree' ELSE 'dispute' END AS status, count(*) AS n FROM labels GROUP BY 1",
+        "review_counters": "SELECT count(*) AS total, count(*) - count(text) AS missing, count(text) - count(DISTINCT text) AS duplicates FROM documents",
+        "review_cleaned": topics.CLEANED + "SELECT doc_id, w AS text_cleaned FROM plain",
+        "review_extraction": _FOUND + "SELECT doc_id, category, keywords_found FROM found",
+        "review_complement": _FOUND + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found WHERE category = 'place')",
+        "status_stats": _FOUND + "SELECT status, count(*) AS n FROM status GROUP BY 1",
+        "category_export": _FOUND + "SELECT export AS category, doc_id AS original_id, keywords_found, status FROM export",
+        "category_complements": _FOUND + "SELECT c AS category, doc_id AS original_id FROM documents, (SELECT DISTINCT export AS c FROM export) WHERE doc_id NOT IN (SELECT doc_id FROM export WHERE export = c)",
         "source_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
-        "top_words": rf"""
+        "top_words": f"""
 SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word)::INTEGER AS rank FROM (
-  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split(lower({_CLEAN}), ' ')) AS word FROM documents)
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split(lower({_TEXT}), ' ')) AS word FROM documents)
   WHERE word <> '' GROUP BY ALL)) WHERE rank <= 10""",
         "page_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''),

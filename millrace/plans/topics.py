@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import english as E
-from millrace.operators import chunks, terms, vectors
+from millrace.functions.text import EMAIL, HASHTAG, SPACES, URL
+from millrace.operators import chunks, needs, terms, vectors
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 LEXICON = {"place": ["there", "on the"], "speech": ["that"]}
 WINDOW = 16
+#: Least similarity of an embedding and of terms in the hybrid assignment.
+NEED = (0.40, 0.08)
 
 
 def _table(spark, sf_dir, name):
@@ -19,6 +22,8 @@ def _table(spark, sf_dir, name):
 def _documents(spark, sf_dir, low=1, high=1):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0))
+    if high == 1:
+        return docs.select("doc_id", "lang", found.alias("terms"))
     return docs.select("doc_id", "lang", terms.ngrams(found, low, high).alias("terms"))
 
 
@@ -48,9 +53,17 @@ def tfidf(spark, sf_dir):
     return terms.tfidf(_documents(spark, sf_dir), "doc_id", "terms").groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"))
 
 
+def _ratio(spark, sf_dir):
+    return terms.discriminative(_documents(spark, sf_dir), "doc_id", "terms", F.col("lang") == "en")
+
+
 def tfidf_ratio(spark, sf_dir):
-    out = terms.discriminative(_documents(spark, sf_dir), "doc_id", "terms", F.col("lang") == "en")
-    return out.select("term", F.round("score_in", 6).alias("score_in"), F.round("score_out", 6).alias("score_out"))
+    out = _ratio(spark, sf_dir)
+    return out.select("term", F.round("score_in", 6).alias("score_in"), F.round("score_out", 6).alias("score_out"), F.round("ratio", 4).alias("ratio"))
+
+
+def discriminants(spark, sf_dir):
+    return terms.discriminants(_ratio(spark, sf_dir)).select("rank", "term")
 
 
 def tfidf_bigrams(spark, sf_dir):
@@ -73,7 +86,57 @@ def nmf_topics(spark, sf_dir):
 
 def lda_topics(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", E.letters_only(F.col("text")).alias("words"))
-    return terms.lda(docs, "words").select("doc_id", "dominant_topic")
+    return terms.lda(docs, "words")[0].select("doc_id", "dominant_topic")
+
+
+def nmf_words(spark, sf_dir):
+    weights = terms.tfidf(_documents(spark, sf_dir, 1, 2), "doc_id", "terms", 5, 0.8, 5000)
+    words = terms.topic_words(terms.nmf(weights, "doc_id")[1])
+    return spark.createDataFrame(words, "topic int, rank int, word string, weight double")
+
+
+def lemmatised(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", E.lemmas(F.lower("text")).alias("text"))
+
+
+def topic_corpus(spark, sf_dir):
+    """Texts without the term list's words; those of five characters or fewer are left out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", E.without_words(F.col("text"), E.STOP_WORDS + E.EXTRA_TERM_WORDS).alias("text"))
+    return docs.where(F.length(F.trim("text")) > 5)
+
+
+def _needs(spark, sf_dir):
+    """Reviews with a vector, and a topic for each label: the mean vector, named by eight words of the label's first review."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text").join(_table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    named = rows.groupBy("label").agg(F.min_by(F.array_join(F.slice(F.split("text", " "), 1, 8), " "), "doc_id").alias("topic"))
+    mean = vectors.centroids(_table(spark, sf_dir, "embeddings"), "label", "embedding")
+    topics = named.join(mean, "label").select(F.col("label").cast("long").alias("position"), "topic", F.col("mean").alias("vector"))
+    return rows, topics
+
+
+def _assigned(spark, sf_dir):
+    rows, found = _needs(spark, sf_dir)
+    return needs.assign(rows, "doc_id", "text", "embedding", found, *NEED)
+
+
+def hybrid_assignment(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("doc_id", "assigned_topic", "score", "method")
+
+
+def topic_counts(spark, sf_dir):
+    return needs.topic_counts(_assigned(spark, sf_dir), 8)
+
+
+def representatives(spark, sf_dir):
+    return needs.representatives(_assigned(spark, sf_dir), "doc_id", 8).select("assigned_topic", "n", "rank", "review", "tfidf_score")
+
+
+def topic_clusters(spark, sf_dir):
+    return needs.clusters(_needs(spark, sf_dir)[1], "position", "vector", 0.5)
+
+
+def reduced_topics(spark, sf_dir):
+    return needs.reduced_topics(_needs(spark, sf_dir)[1], "position", "vector", 0.0, 2)
 
 
 def centroids(spark, sf_dir):
@@ -94,7 +157,7 @@ def assign_best(spark, sf_dir):
 
 
 def queries():
-    made = (number_words, clean_text, stopword_clean, lang_detect, chunk_windows, tfidf, tfidf_ratio, tfidf_bigrams, collocations, class_tfidf, nmf_topics, lda_topics, centroids, medoids, assign_best)
+    made = (number_words, clean_text, stopword_clean, lang_detect, chunk_windows, tfidf, tfidf_ratio, discriminants, tfidf_bigrams, collocations, class_tfidf, nmf_topics, nmf_words, lda_topics, lemmatised, topic_corpus, centroids, medoids, assign_best, hybrid_assignment, topic_counts, representatives, topic_clusters, reduced_topics)
     return {f.__name__: f for f in made}
 
 
@@ -102,6 +165,15 @@ def _list(words):
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+_TOKEN = r"[\p{L}](?:[\p{L}''_-])+[\p{L}]|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+
+
+def _plain(text):
+    """A text's plain words without stop words, contractions kept."""
+    return f"""array_to_string(list_filter(regexp_extract_all(lower(replace({text}, '’', '''')), '{_TOKEN}'),
+ lambda x: regexp_full_match(x, '[a-z]+(?:[-''][a-z]+)*') AND (list_contains({_list(E.CONTRACTIONS)}, x) OR NOT list_contains({_list(E.STOP_WORDS)}, x))), ' ')"""
+
+
 _SMALL, _TENS, _SCALES = _list(E.SMALL), _list(E.TENS), _list(E.SCALES)
 _LOW = f"CASE WHEN g % 100 < 20 THEN {_SMALL}[g % 100 + 1] ELSE {_TENS}[g % 100 // 10 - 1] || CASE WHEN g % 10 > 0 THEN '-' || {_SMALL}[g % 10 + 1] ELSE '' END END"
 _SPELLED = f"""
@@ -117,6 +189,11 @@ held AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9]+') AS r, string_sp
 pieces AS (SELECT doc_id, i, p[i] AS a, r[i] AS run FROM (SELECT doc_id, p, r, unnest(range(1, len(p) + 1)) AS i FROM held)),
 numbered AS (SELECT doc_id, string_agg(a || coalesce(w, ''), '' ORDER BY i) AS text FROM pieces LEFT JOIN spelled USING (run) GROUP BY doc_id)
 """
+CLEANED = _SPELLED + f""",
+clean AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '{EMAIL}', '', 'g'), '{URL}', '', 'g'), '{HASHTAG}', '', 'g'), '[/-]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '{SPACES}', ' ', 'g')) AS t FROM numbered),
+plain AS (SELECT doc_id, t, {_plain("t")} AS w FROM clean)
+"""
 _TERMS = rf"""
 WITH docs AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '{TERM}') AS w FROM documents),
 """
@@ -128,25 +205,70 @@ raw AS (SELECT doc_id, term, tf * idf AS x FROM occ JOIN idf USING (term)),
 weights AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM raw)
 """
 _UNI = _TERMS + _WEIGHTS.format(source="(SELECT doc_id, unnest(w) AS term FROM docs)")
+_SCORES = _UNI + """, scores AS (
+SELECT term, coalesce(sum(weight) FILTER (lang = 'en'), 0.0) / (SELECT count(*) FROM docs WHERE lang = 'en') AS score_in,
+ coalesce(sum(weight) FILTER (lang IS DISTINCT FROM 'en'), 0.0) / (SELECT count(*) FROM docs WHERE lang IS DISTINCT FROM 'en') AS score_out
+FROM weights JOIN docs USING (doc_id) GROUP BY term)
+"""
 _BI = _TERMS + _WEIGHTS.format(source="(SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM docs)")
 
 
+_ASSIGNED = rf"""
+WITH base AS (SELECT doc_id, text, embedding::DOUBLE[] AS v, label FROM documents JOIN embeddings ON doc_id = vec_id),
+centre AS (SELECT label, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(embedding[p]::DOUBLE) AS x FROM embeddings, range(1, 65) r(p) GROUP BY ALL) GROUP BY label),
+topics AS (SELECT label AS position, array_to_string(string_split(t, ' ')[1:8], ' ') AS topic, v FROM (SELECT label, arg_min(text, doc_id) AS t FROM base GROUP BY label) JOIN centre USING (label)),
+corpus AS (SELECT 0 AS side, doc_id AS k, text AS t FROM base UNION ALL SELECT 1, position, topic FROM topics),
+words AS (SELECT side, k, list_filter(regexp_extract_all(lower(coalesce(t, '')), '{TERM}'), lambda x: NOT list_contains({_list(E.STOP_WORDS)}, x)) AS w FROM corpus),
+occ AS (SELECT side, k, term, count(*) AS tf FROM (SELECT side, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words) GROUP BY ALL),
+vocabulary AS (SELECT term, count(*) AS df FROM occ GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000),
+raw AS (SELECT side, k, term, tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1 + df)) + 1) AS x FROM occ JOIN vocabulary USING (term)),
+weights AS (SELECT side, k, term, x / sqrt(sum(x * x) OVER (PARTITION BY side, k)) AS w FROM raw),
+shared AS (SELECT a.k AS doc_id, b.k AS position, round(sum(a.w * b.w), 12) AS s FROM weights a JOIN weights b USING (term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL),
+counted AS (SELECT doc_id, position AS tp, s AS ts FROM shared QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, position) = 1),
+near AS (
+  SELECT doc_id, text, position AS ep, s AS es FROM (SELECT doc_id, text, position, round(list_cosine_similarity(base.v, topics.v), 12) AS s FROM base, topics)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, position) = 1),
+both_ways AS (SELECT doc_id, text, ep, es, coalesce(tp, (SELECT min(position) FROM topics)) AS tp, coalesce(ts, 0.0) AS ts FROM near LEFT JOIN counted USING (doc_id)),
+assigned AS (
+  SELECT doc_id, text AS review, CASE WHEN es >= {NEED[0]} THEN e.topic WHEN ts >= {NEED[1]} THEN c.topic ELSE '{needs.NO_NEED}' END AS assigned_topic,
+    round_even(CASE WHEN es >= {NEED[0]} THEN es WHEN ts >= {NEED[1]} THEN ts ELSE greatest(es, ts) END, 3) AS score,
+    CASE WHEN es >= {NEED[0]} THEN 'embedding' WHEN ts >= {NEED[1]} THEN 'tfidf' ELSE 'none' END AS method
+  FROM both_ways JOIN topics e ON e.position = ep JOIN topics c ON c.position = tp),
+kept AS (SELECT assigned_topic, count(*) AS n FROM assigned WHERE assigned_topic <> '{needs.NO_NEED}' GROUP BY ALL HAVING count(*) >= 8)
+"""
+_LIKEST = _ASSIGNED + rf""",
+own AS (SELECT assigned_topic, doc_id AS k, review AS t FROM assigned JOIN kept USING (assigned_topic) UNION ALL SELECT assigned_topic, NULL, assigned_topic FROM kept),
+own_words AS (SELECT assigned_topic, k, list_filter(regexp_extract_all(lower(t), '{TERM}'), lambda x: NOT list_contains({_list(E.STOP_WORDS)}, x)) AS w FROM own),
+own_occ AS (SELECT assigned_topic, k, term, count(*) AS tf FROM (SELECT assigned_topic, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM own_words) GROUP BY ALL),
+own_raw AS (SELECT assigned_topic, k, term, tf * (ln((2 + n) / (1 + count(*) OVER (PARTITION BY assigned_topic, term))) + 1) AS x FROM own_occ JOIN kept USING (assigned_topic)),
+own_weights AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY assigned_topic, k)) AS y FROM own_raw),
+likeness AS (SELECT a.assigned_topic, a.k, sum(a.y * b.y) AS s FROM own_weights a JOIN own_weights b ON a.assigned_topic = b.assigned_topic AND a.term = b.term WHERE a.k IS NOT NULL AND b.k IS NULL GROUP BY ALL)
+SELECT assigned_topic, n, rank, review, round(s, 3) AS tfidf_score FROM (
+  SELECT a.assigned_topic, n, review, coalesce(s, 0.0) AS s, row_number() OVER (PARTITION BY a.assigned_topic ORDER BY round(coalesce(s, 0.0), 9) DESC, doc_id)::INTEGER AS rank
+  FROM assigned a JOIN kept USING (assigned_topic) LEFT JOIN likeness l ON l.assigned_topic = a.assigned_topic AND k = doc_id) WHERE rank <= 3"""
+
+
 def oracle_sql():
+    rules = " ".join(f"WHEN regexp_matches(w, '{p}') THEN regexp_replace(w, '{p}', '\\1{e}')" for p, e in E.LEMMA_RULES)
+    lemma = "CASE " + " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in E.IRREGULAR.items()) + f" {rules} ELSE w END"
     best = ", ".join(f"len(list_filter(w, lambda x: list_contains({_list(ws)}, x)))" for ws in E.LANGUAGE_WORDS.values())
     return {
         "number_words": _SPELLED + "SELECT doc_id, text FROM numbered",
-        "clean_text": _SPELLED + r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '', 'g'), 'https?://\S+|www\.\S+', '', 'g'), '#\S+', '', 'g'), '[/-]', ' ', 'g'),
- '[^\p{L}\p{N}_\s'']', ' ', 'g'), '[\s\p{Z}\x{85}]+', ' ', 'g')) AS text FROM numbered""",
-        "stopword_clean": rf"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(replace(text, '’', '''')), '[\p{{L}}](?:[\p{{L}}''_-])+[\p{{L}}]|[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'),
- lambda t: regexp_full_match(t, '[a-z]+(?:[-''][a-z]+)*') AND NOT list_contains({_list(E.STOP_WORDS)}, t)), ' ') AS text FROM documents""",
+        "clean_text": CLEANED + "SELECT doc_id, t AS text FROM plain",
+        "stopword_clean": f"SELECT doc_id, {_plain('text')} AS text FROM documents",
+        "lemmatised": rf"""SELECT doc_id, trim(replace(array_to_string(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '{SPACES}', ' ', 'g'), ' '), lambda w: {lemma}), ' '), ' - ', '-')) AS text FROM documents""",
+        "topic_corpus": rf"""SELECT * FROM (SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')), ' '),
+ lambda w: NOT list_contains({_list(E.STOP_WORDS + E.EXTRA_TERM_WORDS)}, w)), ' ') AS text FROM documents) WHERE length(trim(text)) > 5""",
         "lang_detect": rf"""SELECT doc_id, CASE WHEN list_max(n) = 0 THEN 'unknown' ELSE {_list(E.LANGUAGE_WORDS)}[list_position(n, list_max(n))] END AS language
 FROM (SELECT doc_id, [{best}] AS n FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') AS w FROM documents))""",
         "tfidf": _UNI + "SELECT term, round(sum(weight), 6) AS weight, count(*) AS n FROM weights GROUP BY term",
         "tfidf_bigrams": _BI + "SELECT term, round(sum(weight), 6) AS weight, count(*) AS n FROM weights GROUP BY term",
-        "tfidf_ratio": _UNI + """SELECT term, round(coalesce(sum(weight) FILTER (lang = 'en'), 0.0) / (SELECT count(*) FROM docs WHERE lang = 'en'), 6) AS score_in,
- round(coalesce(sum(weight) FILTER (lang IS DISTINCT FROM 'en'), 0.0) / (SELECT count(*) FROM docs WHERE lang IS DISTINCT FROM 'en'), 6) AS score_out
-FROM weights JOIN docs USING (doc_id) GROUP BY term""",
+        "tfidf_ratio": _SCORES + "SELECT term, round(score_in, 6) AS score_in, round(score_out, 6) AS score_out, round(score_in / greatest(score_out, 1e-6), 4) AS ratio FROM scores",
+        "discriminants": _SCORES + """SELECT row_number() OVER (ORDER BY round(score_in, 12) DESC, term)::INTEGER AS rank, term FROM scores
+WHERE score_in / greatest(score_out, 1e-6) >= 1.5 ORDER BY rank LIMIT 80""",
+        "hybrid_assignment": _ASSIGNED + "SELECT doc_id, assigned_topic, score, method FROM assigned",
+        "topic_counts": _ASSIGNED + "SELECT * FROM kept",
+        "representatives": _LIKEST,
         "collocations": _TERMS + """
 s AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM docs) GROUP BY term),
 p AS (SELECT x[1] AS a, x[2] AS b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS x FROM docs) GROUP BY ALL HAVING count(*) >= 5)

@@ -93,7 +93,7 @@ def test_vectors(spark):
 def test_models_and_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, "good"), (2, None)], "id int, t string")
     out = models.classify(rows, "t", ["x", "y"], lambda: lambda texts: [[1.0, -1.0] if t else [0.0, 0.0] for t in texts]).collect()
-    assert [tuple(r["prediction"]) for r in out] == [("yes", "no"), ("yes", "yes")]
+    assert [tuple(r["bert_prediction"]) for r in out] == [("yes", "no"), ("yes", "yes")]
     answer = 'so {"topics":["a",{"topic":"b","justification":"c"},["z"]]} done'
     assert one(spark, answer, models.answer_topics) == ["a", "b : c"] and one(spark, None, models.answer_topics) == []
     moved = models.translate(rows, "t", F.lit("de"), lambda: lambda t, k: t.upper()).collect()
