@@ -91,7 +91,7 @@ def clusters(topics: DataFrame, key: str, vector: str, least_similarity: float =
         order: dict[int, int] = {}
         return pd.DataFrame({key: f[key], "cluster": [order.setdefault(c, len(order)) for c in found]})
 
-    return topics.where(vectors.dot(F.col(vector), F.col(vector)) > 0).select(key, vector).groupBy(F.lit(1)).applyInPandas(run, f"{key} {kind}, cluster int")
+    return topics.where(vectors.dot(F.col(vector), F.col(vector)) > 0).select(key, vector).groupBy().applyInPandas(run, f"{key} {kind}, cluster int")
 
 
 def reduced_topics(topics: DataFrame, key: str, vector: str, least_similarity: float = 0.85, least_size: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ TERM = r"[\p{L}\p{N}_]{2,}"
 LEXICON = {"place": ["there", "on the"], "speech": ["that"]}
 WINDOW = 16
 #: Least similarity of an embedding and of terms in the hybrid assignment.
-NEED = (0.40, 0.08)
+NEED = (0.20, 0.08)
 
 
 def _table(spark, sf_dir, name):
@@ -124,11 +124,11 @@ def hybrid_assignment(spark, sf_dir):
 
 
 def topic_counts(spark, sf_dir):
-    return needs.topic_counts(_assigned(spark, sf_dir), 8)
+    return needs.topic_counts(_assigned(spark, sf_dir), 2)
 
 
 def representatives(spark, sf_dir):
-    return needs.representatives(_assigned(spark, sf_dir), "doc_id", 8).select("assigned_topic", "n", "rank", "review", "tfidf_score")
+    return needs.representatives(_assigned(spark, sf_dir), "doc_id", 2).select("assigned_topic", "n", "rank", "review", "tfidf_score")
 
 
 def topic_clusters(spark, sf_dir):
@@ -234,7 +234,7 @@ assigned AS (
     round_even(CASE WHEN es >= {NEED[0]} THEN es WHEN ts >= {NEED[1]} THEN ts ELSE greatest(es, ts) END, 3) AS score,
     CASE WHEN es >= {NEED[0]} THEN 'embedding' WHEN ts >= {NEED[1]} THEN 'tfidf' ELSE 'none' END AS method
   FROM both_ways JOIN topics e ON e.position = ep JOIN topics c ON c.position = tp),
-kept AS (SELECT assigned_topic, count(*) AS n FROM assigned WHERE assigned_topic <> '{needs.NO_NEED}' GROUP BY ALL HAVING count(*) >= 8)
+kept AS (SELECT assigned_topic, count(*) AS n FROM assigned WHERE assigned_topic <> '{needs.NO_NEED}' GROUP BY ALL HAVING count(*) >= 2)
 """
 _LIKEST = _ASSIGNED + rf""",
 own AS (SELECT assigned_topic, doc_id AS k, review AS t FROM assigned JOIN kept USING (assigned_topic) UNION ALL SELECT assigned_topic, NULL, assigned_topic FROM kept),
