@@ -109,10 +109,10 @@ def _seeded(item: list, seeds: set[tuple], least: int = LEAST) -> int:
 
 
 class Block:
-    """Items of a block with their seeds, by the seeds' lengths: LEAST words, or the whole of a shorter item."""
+    """Items of a block with their seeds, by the seeds' lengths: LEAST words, or with ``short`` the whole of a shorter item."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.items = [(k, w) for k, t in items if (w := words(t))]
+    def __init__(self, items: list[tuple[int, bytes]], short: bool = False):
+        self.items = [(k, w) for k, t in items if len(w := words(t)) >= (1 if short else LEAST)]
         self.seeds: dict[int, dict[tuple, set[int]]] = {}
         for n, (_, w) in enumerate(self.items):
             least = min(LEAST, len(w))
@@ -145,32 +145,32 @@ class Block:
         return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, short: bool = False) -> Iterator[Block]:
     """The items in blocks of about ``most`` words; the driver holds one at a time."""
     held, n = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").toLocalIterator():
         held.append((r[0], r[1].encode()))
         n += len(held[-1][1]) // 5
         if n >= most:
-            yield Block(held)
+            yield Block(held, short)
             held, n = [], 0
     if held:
-        yield Block(held)
+        yield Block(held, short)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", short: bool = False) -> DataFrame:
     """doc_id, item_id, covered, n_words: the items of which a document covers COVERAGE or more.
 
     One row per row of ``docs`` and item. Null and empty texts leak nothing;
-    items of fewer than LEAST words must be found whole, those without a word
-    are never found; an empty benchmark or
+    items of fewer than LEAST words are common phrases and not looked for
+    unless ``short`` asks for them, whole; an empty benchmark or
     table gives no rows; extra columns are ignored. Column ``key`` of ``docs``
     is returned as doc_id.
     """
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, covered long, n_words long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, short=short):
 
         def run(batches, held=docs.sparkSession.sparkContext.broadcast(block)):
             for batch in batches:
