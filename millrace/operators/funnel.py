@@ -50,7 +50,7 @@ def run(
     found = reviews.extract(clean, reviews.prepared_lexicon(lexicon), reviews.prepared_lexicon(exclusions), f"{text}_cleaned")
     cut = chunks.chunked(found, text, lexicon, exclusions, length, category="category")
     labels = [c for c, ks in lexicon.items() if ks]
-    judged = models.classify(cut, "chunk", labels, load, batch, threshold)
+    judged = models.classify(cut, "chunk", labels, load, batch, threshold, "bert_prediction")
     made = reviews.with_status(judged, "kw_category", "bert_prediction").select(
         F.col(key).alias("original_id"), F.col(text).alias("review"), F.col(f"{text}_cleaned").alias("review_cleaned"), "chunk", "keywords_found",
         "kw_category", "bert_prediction", "status",

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def classify(
     rows: DataFrame, text: str, labels: list[str], load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 16, threshold: float = 0.5,
-    column: str = "bert_prediction",
+    column: str = "prediction",
 ) -> DataFrame:
     """All columns with ``column``, a struct of yes or no per label.
 
@@ -34,25 +36,36 @@ def _batched(load, batch):
     return run
 
 
-def translate(rows: DataFrame, text: str, language: Column, load: Callable[[], Callable[[str, str], str]], keep: tuple[str, ...] = ("en", "unknown")) -> DataFrame:
-    """Texts of other languages through ``load()``'s (text, language) -> text; where it fails the text stays."""
+def translate(rows: DataFrame, text: str, language: Column, load: Callable[[], Callable[[str, str], str]], keep: tuple[str, ...] = ("en", "unknown"), threads: int = 1) -> DataFrame:
+    """All columns with language; texts of languages not in ``keep`` go through ``load()``'s (text, language) -> text, where it fails they stay.
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    Blank and null texts stay. ``threads`` calls of a partition wait at once,
+    for models behind a network. The rows pass through an operator of their
+    own, so that no filter on the result moves into it.
+    """
+    marked = rows.withColumn("language", language)
+    at, kind = marked.columns.index(text), marked.columns.index("language")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for texts, languages in parts:
-            out = []
-            for t, k in zip(texts, languages):
-                try:
-                    out.append(model(t, k))
-                except Exception:  # a failed translation leaves the text, by definition
-                    out.append(t)
-            yield pd.Series(out, dtype=object)
 
-    marked = rows.withColumn("language", language)
-    other = F.col(text).isNotNull() & ~F.col("language").isin(*keep)
-    moved = marked.where(other).withColumn(text, run(F.col(text), F.col("language")))
-    return marked.where(~other | other.isNull()).unionByName(moved)
+        def one(pair):
+            try:
+                return model(*pair)
+            except Exception:  # a failed translation leaves the text, by definition
+                return pair[0]
+
+        with ThreadPoolExecutor(max(threads, 1)) as pool:
+            for batch in batches:
+                texts, kinds = batch.column(at).to_pylist(), batch.column(kind).to_pylist()
+                other = [i for i, (t, k) in enumerate(zip(texts, kinds)) if t is not None and t.strip() and k not in keep]
+                pairs = [(texts[i], kinds[i]) for i in other]
+                for i, new in zip(other, pool.map(one, pairs) if threads > 1 else map(one, pairs)):
+                    texts[i] = new
+                columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return marked.mapInArrow(run, marked.schema)
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:

@@ -212,7 +212,12 @@ def phrases(rows: DataFrame, words: str, min_count: int = 5, threshold: float =
     return joined
 
 
-def lda(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 2**31 - 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def lda(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 2**31 - 1, seed: int = 42) -> DataFrame:
+    """All columns with topics and dominant_topic of ``lda_with_words``."""
+    return lda_with_words(rows, words, k, passes, vocabulary, seed)[0]
+
+
+def lda_with_words(rows: DataFrame, words: str, k: int = 8, passes: int = 20, vocabulary: int = 2**31 - 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """All columns with topics and dominant_topic by Spark's online LDA over words and joined pairs (``phrases``); and each topic's ten words.
 
     The second frame has topic, rank, word, weight. Each of the ``passes`` draws

@@ -60,21 +60,21 @@ def node_text(node) -> str:
     return " ".join(" ".join(out).split())
 
 
-@F.pandas_udf("string")
-def _rich(texts: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            tree = json.loads(text) if text else None
-        except ValueError:
-            return ""
-        return node_text(tree) if isinstance(tree, dict) else ""
+def rich_text(tree: Column) -> Column:
+    """Text of a rich-text tree in JSON; anything but an object is empty."""
 
-    return texts.map(one)
+    @F.pandas_udf("string")
+    def texts(trees: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                held = json.loads(text) if text else None
+            except ValueError:
+                return ""
+            return node_text(held) if isinstance(held, dict) else ""
 
+        return trees.map(one)
 
-def rich_text(tree: Column) -> Column:
-    """Text of a rich-text tree in JSON; anything but an object is empty."""
-    return _rich(tree)
+    return texts(tree)
 
 
 def first_text(post: str) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.sources import feeds
+
 
 def read_reviews(spark: SparkSession, path: str, schema: StructType | str | None = None, missing: str | list[str] | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
     """CSV with a header, quoted line ends and doubled quotes.
@@ -88,3 +90,14 @@ def write_terms(table: DataFrame, chosen: DataFrame, name: str, folder: str) ->
     write_csv(first.select(F.lit(name).alias("group"), F.col("term").alias("word"), F.col("score_in").alias("tfidf_category")), f"{folder}/{name}_tfidf")
     write_csv(first.select(F.col("term").alias("word"), F.col("score_in").alias("tfidf_category"), F.col("score_out").alias("tfidf_rest"), "ratio"), f"{folder}/{name}_ratio")
     write_csv(chosen.orderBy("rank").select(F.lit(name).alias("group"), F.col("term").alias("word")), f"{folder}/{name}_discriminant")
+
+
+def feed_posts(pages: DataFrame, page: str = "page", post: str = feeds.POST) -> DataFrame:
+    """Rows of the records in feed pages (JSON strings) as they are; pages that don't parse give none."""
+    parsed = F.from_json(page, f"struct<records:array<{post}>,has_next_page:boolean>")
+    return pages.select(F.explode_outer(parsed["records"]).alias("post")).where("post IS NOT NULL").select("post.*")
+
+
+def feed_from(fetch, start: int = 1, most: int | None = None) -> list[str]:
+    """``feeds.pages`` as a list, for short feeds."""
+    return list(feeds.pages(fetch, start, most))
