@@ -151,4 +151,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = components(links(materialise(held.select("fp").distinct()))).withColumnRenamed("node", "fp")
     first = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", ROW)).alias("first"))
     keep = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(keep, ROW, "left_semi").select(*docs.columns)
+    # the texts are shuffled once and not sorted, at every size
+    return rows.join(keep.hint("shuffle_hash"), ROW, "left_semi").select(*docs.columns)
