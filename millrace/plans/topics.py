@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import english as E
 from millrace.functions.text import EMAIL, HASHTAG, SPACES, URL
-from millrace.operators import chunks, needs, terms, vectors
+from millrace.operators import chunks, density, needs, terms, vectors
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 LEXICON = {"place": ["there", "on the"], "speech": ["that"]}
@@ -156,8 +156,13 @@ def assign_best(spark, sf_dir):
     return vectors.assign_best(rows.select("vec_id", "embedding"), "embedding", topics).select("vec_id", "topic", F.round("score", 5).alias("score"))
 
 
+def density_topics(spark, sf_dir):
+    points = density.reduced(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3)
+    return density.clusters(points, "vec_id", "point", 0.2)
+
+
 def queries():
-    made = (number_words, clean_text, stopword_clean, lang_detect, chunk_windows, tfidf, tfidf_ratio, discriminants, tfidf_bigrams, collocations, class_tfidf, nmf_topics, nmf_words, lda_topics, lemmatised, topic_corpus, centroids, medoids, assign_best, hybrid_assignment, topic_counts, representatives, topic_clusters, reduced_topics)
+    made = (number_words, clean_text, stopword_clean, lang_detect, chunk_windows, tfidf, tfidf_ratio, discriminants, tfidf_bigrams, collocations, class_tfidf, nmf_topics, nmf_words, lda_topics, lemmatised, topic_corpus, centroids, medoids, assign_best, hybrid_assignment, topic_counts, representatives, topic_clusters, reduced_topics, density_topics)
     return {f.__name__: f for f in made}
 
 

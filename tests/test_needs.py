@@ -150,3 +150,19 @@ def test_topic_words_and_sinks(spark, tmp_path):
     out, found = terms.lda_with_words(rows, "w", 2, 3)
     assert out.where("dominant_topic IS NULL").count() == 0 and found.count() == 2 * min(10, 4) and found.where("rank = 1").count() == 2
     assert vectors.MOST_TOPICS == 2000
+
+
+def test_density_topics(spark):
+    from millrace.operators import density
+
+    rng = np.random.default_rng(5)
+    blobs = [rng.normal(c, 0.05, (n, 2)) for c, n in (((0, 0), 60), ((5, 5), 40), ((9, 0), 8))]
+    points = [*np.vstack(blobs).tolist(), [3.0, -7.0], [20.0, 20.0]]
+    rows = spark.createDataFrame(list(enumerate(points)), "k long, p array<double>")
+    got = {r["k"]: r["topic"] for r in density.clusters(rows, "k", "p", 0.15, 4, 15).collect()}
+    assert len(got) == len(points) and all(got[i] == -1 for i in range(100, 110))
+    assert Counter(got[i] for i in range(60))[0] > 50 and Counter(got[i] for i in range(60, 100))[1] > 30
+    assert {r["topic"]: r["n"] for r in density.sizes(density.clusters(rows, "k", "p", 0.15, 4, 15)).collect()} == Counter(got.values())
+    assert density.clusters(rows.where("false"), "k", "p", 0.15).count() == 0
+    flat = density.reduced(spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(9)] + [(9, None)], "k long, v array<double>"), "k", "v", 2)
+    assert flat.count() == 9 and len(flat.first()["point"]) == 2
