@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import discard, materialise  # noqa: F401  for the operators
+
 #: ASCII white space, the only separators between words in these operators.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Column of a key that tells rows apart where doc_ids can't.
-ROW = "__row"
+
+def unused(df: DataFrame, name: str = "row") -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,54 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent on one machine, as in tests, a folder of our own
-    is set; a cluster without it is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def _place(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop."""
-    held = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return held.getFileSystem(spark._jsc.hadoopConfiguration()), held
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the shared folder and reading it again.
-
-    Written files outlive lost executors, unlike local checkpoints and caches.
-    They are deleted by ``discard``, at the latest when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, held = _place(spark, path)
-    files.deleteOnExit(held)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what ``materialise`` wrote, once nothing reads it any more."""
-    for df in frames:
-        files, held = _place(df.sparkSession, df.written_to)
-        files.delete(held, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a name inside one expression; it is evaluated once, and only when needed."""
     return F.transform(F.array(value), body)[0]

@@ -1,7 +1,9 @@
 """Licence scan by Dice coefficient over word bigrams (native: DataFrame functions only).
 
 Templates are short notices, whole licence texts and their paragraphs. A text's
-units are its lines, its paragraphs and the whole of it. A unit whose
+units are its lines, its sentences (across line ends), its paragraphs and the
+whole of it; in a sentence that is too long for a notice, so are the runs of as
+many words as the notice has. A unit whose
 set of word bigrams A and a template's set B have 2|A n B| / (|A| + |B|) >= t
 matches. That needs t/(2-t) |B| <= |A| <= (2-t)/t |B|, which prunes templates by
 size, and it needs at least t/(2-t) |B| shared bigrams, so any |B| - that + 1
@@ -125,23 +127,40 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
     for k, (name, x) in enumerate(sorted(templates.items())):
         b = bigrams_of(x)
         low, high = least_and_most(len(b), t)
-        values = {"low": low, "high": high, "rank": -k, "name": name}
+        values = {"low": low, "high": high, "rank": -k, "name": name, "words": len(normalised(x)) if name in NOTICES else 0}
         rows.append(F.struct(*[F.lit(v).alias(n) for n, v in values.items()], F.split(F.lit("\n".join(b)), "\n").alias("b")))
     known = F.array(*rows)  # folded to one value
+    short = F.array(*[r for r, (name, _) in zip(rows, sorted(templates.items())) if name in NOTICES] or [F.lit(None).cast("struct<low:int,high:int,rank:int,name:string,words:int,b:array<string>>")])
     every = sorted({g for x in templates.values() for g in bigrams_of(x)})
+    dice = lambda grams, x: 2.0 * F.size(F.array_intersect(grams, x["b"])) / (F.size(grams) + F.size(x["b"]))
+
+    def scored(found: Column) -> Column:
+        """The largest (dice, name) of those that reach t, by name upwards on ties, or null."""
+        return F.array_max(F.filter(found, lambda x: x["dice"] >= t))
 
     def best(grams: Column) -> Column:
-        """The largest (dice, name) of a unit, by name upwards on ties, or null."""
+        """A unit's best template as a whole."""
         fits = F.filter(known, lambda x: F.size(grams).between(x["low"], x["high"]))
-        dice = lambda x: 2.0 * F.size(F.array_intersect(grams, x["b"])) / (F.size(grams) + F.size(x["b"]))
-        scores = F.transform(fits, lambda x: F.struct(dice(x).alias("dice"), x["rank"].alias("rank"), x["name"].alias("name")))
-        top = F.array_max(F.filter(scores, lambda x: x["dice"] >= t))
+        scores = F.transform(fits, lambda x: F.struct(dice(grams, x).alias("dice"), x["rank"].alias("rank"), x["name"].alias("name")))
         # a match shares t / (2 - t) of the unit's own bigrams too
-        return F.when(F.size(F.filter(grams, lambda g: g.isin(every))) >= t / (2 - t) * F.size(grams) - 1e-9, top)
+        return F.when(F.size(F.filter(grams, lambda g: g.isin(every))) >= t / (2 - t) * F.size(grams) - 1e-9, scored(scores))
+
+    def inside(words: Column, grams: Column) -> Column:
+        """The best notice among the runs of its length in a longer sentence."""
+        def top(x: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(words) - x["words"] + 1)
+            return F.array_max(F.transform(starts, lambda i: let(_bigrams(F.slice(words, i, x["words"])), lambda g: dice(g, x))))
+
+        held = F.filter(short, lambda x: (F.size(grams) > x["high"]) & (F.size(words) > x["words"]) & (F.size(F.array_intersect(grams, x["b"])) >= x["low"]))
+        return scored(F.transform(held, lambda x: F.struct(top(x).alias("dice"), x["rank"].alias("rank"), x["name"].alias("name"))))
 
-    units = F.array_distinct(F.concat(F.split(lower, "\n"), F.split(lower, "\n\n+"), F.array(lower)))
+    sentences = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, "\n\n+", "\u0001"), "\n", " "), r"([.!?;:])\s+", "$1\u0001"), "\u0001")
+    sentences = F.array_distinct(F.transform(sentences, F.trim))
+    others = F.array_except(F.concat(F.split(lower, "\n"), F.split(lower, "\n\n+"), F.array(lower)), sentences)
     words = lambda u: F.array_remove(F.split(F.regexp_replace(u, r"[^\p{L}\p{N}]+", " "), " "), "")
-    found = F.filter(F.transform(units, lambda u: let(words(u), lambda w: let(_bigrams(w), best))), lambda x: x.isNotNull())
+    whole = F.transform(others, lambda u: let(words(u), lambda w: let(_bigrams(w), best)))
+    parts = F.transform(sentences, lambda u: let(words(u), lambda w: let(_bigrams(w), lambda g: F.coalesce(best(g), inside(w, g)))))
+    found = F.filter(F.concat(parts, whole), lambda x: x.isNotNull())
     none = F.array().cast("array<struct<dice:double,rank:int,name:string>>")
     hits = docs.select("doc_id", F.when(may, found).otherwise(none).alias("found"))
     top = F.array_max("found")
@@ -157,20 +176,33 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
 def oracle(templates: dict[str, str] = NOTICES, t: float = THRESHOLD) -> str:
     """The scan without any pruning, as DuckDB SQL; by default of the notices alone."""
     values = ", ".join(
-        "('" + name + "', [" + ", ".join("'" + g.replace("'", "''") + "'" for g in bigrams_of(x)) + "])"
+        "('" + name + "', [" + ", ".join("'" + g.replace("'", "''") + "'" for g in bigrams_of(x)) + f"], {len(normalised(x))}, {least_and_most(len(bigrams_of(x)), t)[0]}, {least_and_most(len(bigrams_of(x)), t)[1]})"
         for name, x in templates.items()
     )
     return rf"""
-WITH templates(name, b) AS (VALUES {values}), docs AS (
+WITH templates(name, b, n, low, high) AS (VALUES {values}), docs AS (
   SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents
+), marked AS (
+  SELECT rid, t, list_distinct(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(t, '\n\n+', chr(1), 'g'), '\n', ' ', 'g'), '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x))) AS sentences FROM docs
 ), units AS (
-  SELECT rid, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '\n\n+'), [t]))) AS u FROM docs
+  SELECT rid, 1 AS sentence, unnest(sentences) AS u FROM marked
+  UNION ALL
+  SELECT rid, 0, unnest(list_filter(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '\n\n+'), [t])), lambda x: NOT list_contains(sentences, x))) FROM marked
 ), words AS (
-  SELECT rid, u, list_filter(string_split(regexp_replace(u, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM units
+  SELECT rid, u, sentence, list_filter(string_split(regexp_replace(u, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM units
 ), grams AS (
-  SELECT rid, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM words
-), scored AS (
+  SELECT rid, u, sentence, w, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM words
+), wholly AS (
   SELECT rid, u, name, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM grams, templates
+), longer AS (
+  SELECT rid, u, name, n, w, b, high FROM grams, templates
+  WHERE sentence = 1 AND len(a) > high AND len(w) > n AND len(list_intersect(a, b)) >= low
+  AND (rid, u) NOT IN (SELECT (rid, u) FROM wholly WHERE dice >= {t})
+), run AS (
+  SELECT rid, u, name, b, list_distinct(list_transform(range(1, n), lambda i: v[i] || ' ' || v[i + 1])) AS a
+  FROM (SELECT rid, u, name, n, b, unnest(list_transform(range(1, len(w) - n + 2), lambda s: w[s : s + n - 1])) AS v FROM longer)
+), scored AS (
+  SELECT * FROM wholly UNION ALL SELECT rid, u, name, max(2.0 * len(list_intersect(a, b)) / (len(a) + len(b))) FROM run GROUP BY ALL
 ), best AS (
   SELECT * FROM scored WHERE dice >= {t} QUALIFY row_number() OVER (PARTITION BY rid, u ORDER BY dice DESC, name) = 1
 ), per AS (

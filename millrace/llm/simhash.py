@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, discard, materialise, small_slices, texts_of
+from millrace.operators.graph import components
+
+from .common import materialise, small_slices, texts_of, unused
 
 SEED, SHINGLE, BITS = 42, 3, 2
 SEGMENTS, WIDTH = 16, 4
@@ -99,26 +101,6 @@ def links(fps: DataFrame, small: int = SMALL_CELL) -> DataFrame:
     return few.unionByName(star).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) of all nodes in ``edges`` (a, b), by least labels and pointer jumping."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    held = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        label = held.select("node", "root")
-        near = (
-            both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        )
-        step = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "m").alias("up"), F.col("root").alias("old"))
-        jump = label.select(F.col("node").alias("up"), F.col("root").alias("far"))
-        new = materialise(step.join(jump, "up", "left").select("node", F.least("up", "far").alias("root"), "old"))
-        done = new.where("root <> old").limit(1).count() == 0
-        discard(held)
-        held = new
-        if done:
-            discard(both)
-            return held.select("node", "root")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row per row of ``docs``.
 
@@ -146,10 +128,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by a key of their own, so rows of null or repeated
     doc_ids in other components stay.
     """
-    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    held = materialise(fingerprints(rows, ROW))
+    key = unused(docs)
+    rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()))
+    held = materialise(fingerprints(rows, key))
     roots = components(links(materialise(held.select("fp").distinct()))).withColumnRenamed("node", "fp")
-    first = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", ROW)).alias("first"))
-    keep = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    first = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", key)).alias("first"))
+    keep = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias(key))
     # the texts are shuffled once and not sorted, at every size
-    return rows.join(keep.hint("shuffle_hash"), ROW, "left_semi").select(*docs.columns)
+    return rows.join(keep.hint("shuffle_hash"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,12 +50,12 @@ FEATURES = len(SHARES) + 2
 BLOCK = 8_000_000
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_"
+APART = bytes.maketrans(MARKS, b" " * len(MARKS))
 
 
 def lower_words(text: bytes) -> list[bytes]:
-    """Lower-case words without marks at their ends."""
-    w = [x.strip(MARKS) for x in text.decode("utf-8", "replace").lower().encode().split()]
-    return [x for x in w if x]
+    """Lower-case words between white space and marks."""
+    return text.decode("utf-8", "replace").lower().encode().translate(APART).split()
 
 
 def blocks(text: bytes, most: int = BLOCK) -> Iterator[list[bytes]]:

@@ -390,12 +390,27 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 @pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES], ids=lambda s: s[0])
 def test_stages_on_empty_tables_and_further_columns(spark, tmp_path, stage):
-    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, fp long, __row_ string")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, `a.b` string")
     spark.createDataFrame([(1, "a b c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = stage[1](spark, docs, str(tmp_path))
     assert out.count() == 0 and (out.columns == docs.columns or stage is corpus_pipeline.STAGES[-1])
 
 
+def test_near_duplicates_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, "x"), (2, "a b c", 8, "y"), (3, "d e f", 9, "z")], "doc_id long, text string, fp long, row string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c", 7, "x"), (3, "d e f", 9, "z")]
+
+
+def test_notices_inside_other_words(spark):
+    texts = [
+        "Licensed under CC BY-NC 4.0. Copyright 2020 Jane Doe", "This package is released under the MIT License.", "# This Source Code Form is subject to the\n# terms of the Mozilla Public License, v. 2.0.",
+        "Some words, then others; this work is licensed under the GNU General Public License, version 2 and so on it goes for a while longer than the notice", "Released quietly under a licence of MIT.",
+    ]
+    got = {r["doc_id"]: r["best_license"] for r in licences.scan(frame(spark, texts)).collect()}
+    assert got == {0: "cc-by-nc-4.0", 1: "mit", 2: "mpl-2.0", 3: "gpl-2.0", 4: None}
+
+
 def test_operators_on_empty_tables(spark):
     docs = frame(spark, ["x"]).where("false")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
