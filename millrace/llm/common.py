@@ -43,19 +43,14 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in col.cast(kind).to_pylist()]
 
 
-def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """Run ``make()`` once per partition and its result on every Arrow batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = None
-        for batch in batches:
-            if step is None:
-                step = make()
-            yield step(batch)
-
-    return df.mapInArrow(run, schema)
+def map_rows(docs: DataFrame, make: Callable[[str], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
+    """``docs`` through ``make(name)``, where ``name`` is that of the text's column in the batches.
+
+    Columns go by plain names meanwhile, as Arrow maps can't take names with dots.
+    """
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(make(f"c{at}"), plain.schema).toDF(*docs.columns)
 
 
 def small_slices(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

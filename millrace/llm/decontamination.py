@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, texts_of
+from .common import map_rows, small_slices, texts_of
 
 LEAST, COVERAGE = 5, 0.8
 #: Words of the items in a block.
@@ -185,12 +185,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", short: boo
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that leak no item, with their columns as they were; each row is judged by its own text, without any shuffle."""
     for block in blocks(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, held=docs.sparkSession.sparkContext.broadcast(block)):
-            for batch in batches:
-                for part in small_slices(batch, "text"):
-                    clean = [not held.value.leaks(t) for t in texts_of(part, "text")]
-                    yield part.filter(pa.array(clean, pa.bool_()))
+        def make(name, held=held):
+            def run(batches):
+                for batch in batches:
+                    for part in small_slices(batch, name):
+                        yield part.filter(pa.array([not held.value.leaks(t) for t in texts_of(part, name)], pa.bool_()))
+
+            return run
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, make)
     return docs

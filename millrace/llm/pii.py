@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, texts_of
+from .common import map_rows, small_slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
@@ -354,17 +354,23 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The documents with personal data masked in their texts; null texts stay null, all columns as they were."""
+    """The documents with personal data masked in their texts; null texts stay null, all columns as they were.
+
+    Bytes that are not valid UTF-8 become U+FFFD.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train())
-    at = docs.columns.index("text")
 
-    def run(batches):
-        tagger = Tagger(held.value)
-        for batch in batches:
-            for part in small_slices(batch, "text", 1_000_000):
-                raw = part.column(at).to_pylist()
-                texts = [t or "" for t in raw]
-                new = [None if r is None else masked(t, s) for r, t, s in zip(raw, texts, tagger.spans(texts))]
-                yield pa.RecordBatch.from_arrays([pa.array(new, c.type) if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+    def make(name):
+        def run(batches):
+            tagger = Tagger(held.value)
+            for batch in batches:
+                at = batch.schema.get_field_index(name)
+                for part in small_slices(batch, name, 1_000_000):
+                    there = part.column(at).is_valid().to_pylist()
+                    texts = [t.decode("utf-8", "replace") for t in texts_of(part, name)]
+                    new = [masked(t, s) if ok else None for ok, t, s in zip(there, texts, tagger.spans(texts))]
+                    yield pa.RecordBatch.from_arrays([pa.array(new, c.type) if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, make)

@@ -38,16 +38,13 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words that stand in a window of five words found twice or more, the first one included.
 
-    Linear for texts without a repeated window (one hash set); only others sort their windows.
+    Windows are hashed first: equal ones have equal hashes, so a text whose
+    hashes all differ has none. Only others build and sort their windows.
     """
-    def windows(w):
+    def windows(w, made, kind):
         return F.when(
-            F.size(w) >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - WINDOW),
-                lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(WINDOW)]),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
+            F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: made(*[F.get(w, i + k) for k in range(WINDOW)]))
+        ).otherwise(F.array().cast(f"array<{kind}>"))
 
     def covered(grams):
         ranked = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -67,8 +64,12 @@ def n_repeat_words(words: Column) -> Column:
 
         return let(ranked, lambda s: let(starts(s), total))
 
+    strings = lambda w: windows(w, lambda *x: F.concat_ws(" ", *x), "string")
     return let(
-        windows(words), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), covered(g)).otherwise(F.lit(0))
+        words,
+        lambda w: let(
+            windows(w, F.xxhash64, "bigint"), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(strings(w))).otherwise(F.lit(0))
+        ),
     )
 
 
