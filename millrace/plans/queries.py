@@ -125,6 +125,16 @@ judged AS (
   SELECT 'speech', * FROM status WHERE says_speech = 'yes' AND len(list_intersect(string_split(keywords_found, ', '), ['thon', 'thin-thor', 'die und das'])) > 0
 )
 """
+_FUNNEL = topics.chunk_sql(
+    _FOUND.replace("WITH ", "WITH RECURSIVE ", 1) + r""", first AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+extracted AS (SELECT row_number() OVER (ORDER BY doc_id, category) AS rid, category AS own, t, doc_id, keywords_found FROM found WHERE doc_id IN (SELECT doc_id FROM first)), """,
+    "SELECT rid, own, t FROM extracted",
+    (("place", False, r"\bther\b"), ("place", False, r"attion\s+to\s+thanedble"), ("speech", False, r"\bthon\b"), ("speech", False, "thin[- ]thor"),
+     ("speech", False, r"die\s+und\s+das"), ("place", True, r"ther\s+and\s+thon")),
+    r"\bther\b|attion\s+to\s+thanedble", r"\bthon\b|thin[- ]thor|die\s+und\s+das",
+) + """SELECT doc_id AS original_id, chunk, keywords_found, place, speech,
+ CASE WHEN place = says AND speech = says THEN 'kw_bert_agree' ELSE 'kw_bert_disputed' END AS status
+FROM (SELECT *, CASE WHEN length(chunk) % 2 = 0 THEN 'yes' ELSE 'no' END AS says FROM made) JOIN extracted USING (rid)"""
 _TEXT = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
  '{T.EMAIL}', '', 'g'), '{T.URL}', '', 'g'), '{T.HASHTAG}', '', 'g'), '[/-]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '{T.SPACES}', ' ', 'g'))"""
 
@@ -139,6 +149,7 @@ def oracle_sql() -> dict[str, str]:
         "status_stats": _FOUND + "SELECT status, count(*) AS n FROM status GROUP BY 1",
         "category_export": _FOUND + "SELECT export AS category, doc_id AS original_id, keywords_found, status FROM export",
         "category_complements": _FOUND + "SELECT c AS category, doc_id AS original_id FROM documents, (SELECT DISTINCT export AS c FROM export) WHERE doc_id NOT IN (SELECT doc_id FROM export WHERE export = c)",
+        "review_funnel": _FUNNEL,
         "source_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
         "top_words": f"""
 SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word)::INTEGER AS rank FROM (

@@ -218,6 +218,50 @@ FROM weights JOIN docs USING (doc_id) GROUP BY term)
 _BI = _TERMS + _WEIGHTS.format(source="(SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM docs)")
 
 
+def says(text, pattern):
+    return f"CASE WHEN regexp_matches({text}, '(?i){pattern}') THEN 'yes' ELSE 'no' END"
+
+
+def chunk_sql(head, source, patterns, place, speech):
+    """CTEs after ``head`` up to made(rid, chunk_no, chunk, place, speech).
+
+    ``source`` gives rid, own (a category, null for all) and t; ``patterns`` are
+    (category, excluded, pattern).
+    """
+    matches = " UNION ALL ".join(
+        f"SELECT rid, t, '{c}' AS category, {str(x).lower()} AS excluded, {k} AS pattern, string_split_regex(t, '(?i){p}') AS gaps, regexp_extract_all(t, '(?i){p}') AS hits"
+        f" FROM docs WHERE coalesce(own, '{c}') = '{c}'"
+        for k, (c, x, p) in enumerate(patterns)
+    )
+    return head + rf"""docs AS ({source}),
+matches AS ({matches}),
+places AS (SELECT rid, t, category, excluded, pattern, i, length(gaps[i]) AS gap, length(hits[i]) AS hit FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM matches)),
+spans AS (SELECT *, sum(gap + hit) OVER (PARTITION BY rid, pattern ORDER BY i) - hit AS start FROM places),
+triggers AS (
+  SELECT DISTINCT rid, t, length(t[1:start]) - length(replace(t[1:start], ' ', '')) AS c FROM spans k
+  WHERE NOT excluded AND NOT EXISTS (SELECT 1 FROM spans x WHERE x.excluded AND x.rid = k.rid AND x.category = k.category AND x.start <= k.start AND x.start + x.hit >= k.start + k.hit)),
+centres AS (SELECT rid, string_split(t, ' ') AS tok, greatest(c - {WINDOW // 2}, 0) AS a, least(c + {WINDOW // 2}, len(string_split(t, ' '))) AS b, row_number() OVER (PARTITION BY rid ORDER BY c) AS k FROM triggers),
+windows AS (
+  SELECT rid, k, tok[CASE WHEN b - a < {WINDOW} AND a > 0 THEN greatest(len(tok) - {WINDOW}, 0) ELSE a END + 1 : CASE WHEN b - a < {WINDOW} AND a = 0 THEN least(len(tok), {WINDOW}) ELSE b END] AS tok FROM centres),
+chunks AS (
+  SELECT *, (place = 'yes')::INTEGER + (speech = 'yes')::INTEGER AS n FROM (
+    SELECT *, {says("chunk", place)} AS place, {says("chunk", speech)} AS speech FROM (SELECT rid, k, list_distinct(tok) AS tok, array_to_string(tok, ' ') AS chunk FROM windows))),
+state(rid, k, leads) USING KEY (rid) AS (
+  SELECT rid, k, [{{'tok': tok, 'best': k, 'n': n}}] FROM chunks WHERE k = 1
+  UNION ALL
+  SELECT rid, k, CASE WHEN coalesce(place_of, 0) = 0 THEN list_append(leads, {{'tok': tok, 'best': k, 'n': n}})
+    ELSE list_transform(leads, lambda l, i: CASE WHEN i = place_of AND n > l.n THEN {{'tok': l.tok, 'best': k, 'n': n}} ELSE l END) END
+  FROM (
+    SELECT s.rid, c.k, s.leads, c.tok, c.n, list_position(list_transform(s.leads, lambda l: len(list_intersect(l.tok, c.tok)) >= 0.75 * least(len(l.tok), len(c.tok))), true) AS place_of
+    FROM state s JOIN chunks c ON c.rid = s.rid AND c.k = s.k + 1)),
+made AS (SELECT rid, chunk_no::INTEGER AS chunk_no, chunk, place, speech FROM (SELECT rid, unnest(range(0, len(leads))) AS chunk_no, unnest(leads).best AS k FROM state) JOIN chunks USING (rid, k))
+"""
+
+
+_CHUNKS = chunk_sql(
+    "WITH RECURSIVE ", f"SELECT doc_id AS rid, NULL AS own, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS t FROM documents",
+    (("place", False, r"\bthere\b"), ("place", False, r"on\s+the"), ("speech", False, r"\bthat\b"), ("place", True, r"there\s+is")), r"\bthere\b|on\s+the", r"\bthat\b",
+) + "SELECT rid AS doc_id, chunk_no, chunk, place, speech FROM made"
 _ASSIGNED = rf"""
 WITH base AS (SELECT doc_id, text, embedding::DOUBLE[] AS v, label FROM documents JOIN embeddings ON doc_id = vec_id),
 centre AS (SELECT label, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(embedding[p]::DOUBLE) AS x FROM embeddings, range(1, 65) r(p) GROUP BY ALL) GROUP BY label),
@@ -271,6 +315,7 @@ FROM (SELECT doc_id, [{best}] AS n FROM (SELECT doc_id, string_split_regex(lower
         "tfidf_ratio": _SCORES + "SELECT term, round(score_in, 6) AS score_in, round(score_out, 6) AS score_out, round(score_in / greatest(score_out, 1e-6), 4) AS ratio FROM scores",
         "discriminants": _SCORES + """SELECT row_number() OVER (ORDER BY round(score_in, 12) DESC, term)::INTEGER AS rank, term FROM scores
 WHERE score_in / greatest(score_out, 1e-6) >= 1.5 ORDER BY rank LIMIT 80""",
+        "chunk_windows": _CHUNKS,
         "hybrid_assignment": _ASSIGNED + "SELECT doc_id, assigned_topic, score, method FROM assigned",
         "topic_counts": _ASSIGNED + "SELECT * FROM kept",
         "representatives": _LIKEST,
