@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +37,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def _bytes_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A string column as UTF-8 bytes; nothing is copied."""
+    col = batch.column(batch.schema.get_field_index(name))
+    return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, nulls as empty."""
-    col = batch.column(batch.schema.get_field_index(name))
-    kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
-    return [x or b"" for x in col.cast(kind).to_pylist()]
+    return [x or b"" for x in _bytes_of(batch, name).to_pylist()]
 
 
 def map_rows(docs: DataFrame, make: Callable[[str], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]) -> DataFrame:
@@ -55,7 +60,7 @@ def map_rows(docs: DataFrame, make: Callable[[str], Callable[[Iterator[pa.Record
 
 def small_slices(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes in column ``name`` (one row at least), so that memory doesn't follow the batch."""
-    sizes = [len(x) for x in texts_of(batch, name)]
+    sizes = pc.fill_null(pc.binary_length(_bytes_of(batch, name)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
