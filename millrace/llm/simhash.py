@@ -79,6 +79,8 @@ def _close(a: Column, b: Column) -> Column:
 
 def links(fps: DataFrame, small: int = SMALL_CELL) -> DataFrame:
     """a, b: linked pairs of different fingerprints, enough of them to connect every linked pair."""
+    # the fingerprints lie in a few small files; each becomes 33 rows
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cells = fps.select("fp", _cells(F.col("fp")).alias("cell"))
     counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     met = materialise(cells.join(counts, "cell"))
