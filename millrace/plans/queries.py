@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import english as E
 from millrace.functions import text as T
-from millrace.operators import funnel, reviews as R
+from millrace.operators import funnel, models
+from millrace.operators import reviews as R
 from millrace.plans import topics
+from millrace.sources import feeds
 
 #: Keywords, exclusions; the last category has none and is passed over.
 LEXICON = {"place": ["ther", "attion to thanedble"], "speech": ["thon", "thin-thor", "die und das"], "empty": []}
@@ -83,6 +85,25 @@ def review_funnel(spark, sf_dir):
     return made.chunks.select("original_id", "chunk", "keywords_found", F.col("kw_category.place").alias("place"), F.col("kw_category.speech").alias("speech"), "status")
 
 
+def review_translated(spark, sf_dir):
+    """Texts in other languages than English through a stand-in for the translation, which puts the language before the text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return models.translate(docs, "text", E.language(F.col("text")), lambda: lambda t, k: f"{k}: {t}", keep=("en",))
+
+
+def review_batches(spark, sf_dir):
+    return models.batches(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 15)
+
+
+def numbered_rows(spark, sf_dir):
+    return feeds.numbered(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+def event_dates(spark, sf_dir):
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _table(spark, sf_dir, "events").groupBy(E.iso_date(stamp).alias("date")).agg(F.count("*").alias("n"))
+
+
 def source_counts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
 
@@ -99,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "review_dedup": dedup, "review_counters": counters, "review_cleaned": cleaned, "review_extraction": extraction, "review_complement": complement,
         "status_stats": status_stats, "category_export": category_export, "category_complements": category_complements, "review_funnel": review_funnel,
+        "review_translated": review_translated, "review_batches": review_batches, "numbered_rows": numbered_rows, "event_dates": event_dates,
         "source_counts": source_counts, "top_words": top_words, "page_text": page_text,
     } | topics.queries()
 
@@ -150,6 +172,11 @@ def oracle_sql() -> dict[str, str]:
         "category_export": _FOUND + "SELECT export AS category, doc_id AS original_id, keywords_found, status FROM export",
         "category_complements": _FOUND + "SELECT c AS category, doc_id AS original_id FROM documents, (SELECT DISTINCT export AS c FROM export) WHERE doc_id NOT IN (SELECT doc_id FROM export WHERE export = c)",
         "review_funnel": _FUNNEL,
+        "review_translated": f"""SELECT doc_id, CASE WHEN language <> 'en' AND regexp_matches(text, '\\S') THEN language || ': ' || text ELSE text END AS text, language
+FROM documents JOIN ({topics.LANGUAGE}) USING (doc_id)""",
+        "review_batches": "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 15 AS batch FROM documents",
+        "numbered_rows": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id FROM documents",
+        "event_dates": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1",
         "source_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL",
         "top_words": f"""
 SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word)::INTEGER AS rank FROM (

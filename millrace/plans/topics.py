@@ -297,10 +297,32 @@ SELECT assigned_topic, n, rank, review, round(s, 3) AS tfidf_score FROM (
   FROM assigned a JOIN kept USING (assigned_topic) LEFT JOIN likeness l ON l.assigned_topic = a.assigned_topic AND k = doc_id) WHERE rank <= 3"""
 
 
+_HITS = ", ".join(f"len(list_filter(w, lambda x: list_contains({_list(ws)}, x)))" for ws in E.LANGUAGE_WORDS.values())
+LANGUAGE = rf"""SELECT doc_id, CASE WHEN list_max(n) = 0 THEN 'unknown' ELSE {_list(E.LANGUAGE_WORDS)}[list_position(n, list_max(n))] END AS language
+FROM (SELECT doc_id, [{_HITS}] AS n FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') AS w FROM documents))"""
+
+
+def _linked(least):
+    """CTEs up to linked(position, v, cluster): complete linkage of the labels' mean vectors, one merge a round."""
+    return f"""
+WITH RECURSIVE centre AS (SELECT label, list(x ORDER BY p) AS v FROM (SELECT label, p, avg(embedding[p]::DOUBLE) AS x FROM embeddings, range(1, 65) r(p) GROUP BY ALL) GROUP BY label),
+named AS (SELECT row_number() OVER (ORDER BY label) AS a, label AS position, v FROM centre WHERE label IN (SELECT label FROM documents JOIN embeddings ON doc_id = vec_id) AND list_dot_product(v, v) > 0),
+far AS (SELECT x.a, y.a AS b, 1 - list_cosine_similarity(x.v, y.v) AS d FROM named x JOIN named y ON x.a < y.a),
+merged(step, root) AS (
+  SELECT 0, (SELECT list(a ORDER BY a) FROM named)
+  UNION ALL
+  SELECT step + 1, list_transform(root, lambda x: CASE WHEN x = j THEN i ELSE x END) FROM merged, (
+    SELECT i, j FROM (
+      SELECT least(p, q) AS i, greatest(p, q) AS j, max(d) AS d FROM (SELECT root[a] AS p, root[b] AS q, d FROM merged, far) WHERE p <> q GROUP BY ALL)
+    WHERE d < {1 - least} ORDER BY d, i, j LIMIT 1)),
+linked AS (
+  SELECT position, v, (dense_rank() OVER (ORDER BY root[a]) - 1)::INTEGER AS cluster FROM named, (SELECT root FROM merged ORDER BY step DESC LIMIT 1))
+"""
+
+
 def oracle_sql():
     rules = " ".join(f"WHEN regexp_matches(w, '{p}') THEN regexp_replace(w, '{p}', '\\1{e}')" for p, e in E.LEMMA_RULES)
     lemma = "CASE " + " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in E.IRREGULAR.items()) + f" {rules} ELSE w END"
-    best = ", ".join(f"len(list_filter(w, lambda x: list_contains({_list(ws)}, x)))" for ws in E.LANGUAGE_WORDS.values())
     return {
         "number_words": _SPELLED + "SELECT doc_id, text FROM numbered",
         "clean_text": CLEANED + "SELECT doc_id, t AS text FROM plain",
@@ -308,8 +330,7 @@ def oracle_sql():
         "lemmatised": rf"""SELECT doc_id, trim(replace(array_to_string(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '{SPACES}', ' ', 'g'), ' '), lambda w: {lemma}), ' '), ' - ', '-')) AS text FROM documents""",
         "topic_corpus": rf"""SELECT * FROM (SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')), ' '),
  lambda w: NOT list_contains({_list(E.STOP_WORDS + E.EXTRA_TERM_WORDS)}, w)), ' ') AS text FROM documents) WHERE length(trim(text)) > 5""",
-        "lang_detect": rf"""SELECT doc_id, CASE WHEN list_max(n) = 0 THEN 'unknown' ELSE {_list(E.LANGUAGE_WORDS)}[list_position(n, list_max(n))] END AS language
-FROM (SELECT doc_id, [{best}] AS n FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') AS w FROM documents))""",
+        "lang_detect": LANGUAGE,
         "tfidf": _UNI + "SELECT term, round(sum(weight), 6) AS weight, count(*) AS n FROM weights GROUP BY term",
         "tfidf_bigrams": _BI + "SELECT term, round(sum(weight), 6) AS weight, count(*) AS n FROM weights GROUP BY term",
         "tfidf_ratio": _SCORES + "SELECT term, round(score_in, 6) AS score_in, round(score_out, 6) AS score_out, round(score_in / greatest(score_out, 1e-6), 4) AS ratio FROM scores",
@@ -317,6 +338,10 @@ FROM (SELECT doc_id, [{best}] AS n FROM (SELECT doc_id, string_split_regex(lower
 WHERE score_in / greatest(score_out, 1e-6) >= 1.5 ORDER BY rank LIMIT 80""",
         "chunk_windows": _CHUNKS,
         "hybrid_assignment": _ASSIGNED + "SELECT doc_id, assigned_topic, score, method FROM assigned",
+        "topic_clusters": _linked(0.5) + "SELECT position, cluster FROM linked",
+        "reduced_topics": _linked(0.0) + """SELECT cluster, position, size FROM (
+  SELECT x.cluster, x.position, count(*) AS size, row_number() OVER (PARTITION BY x.cluster ORDER BY round(avg(list_cosine_similarity(x.v, y.v)), 9) DESC, x.position) AS k
+  FROM linked x JOIN linked y USING (cluster) GROUP BY x.cluster, x.position) WHERE k = 1 AND size >= 2""",
         "topic_counts": _ASSIGNED + "SELECT * FROM kept",
         "representatives": _LIKEST,
         "collocations": _TERMS + """
