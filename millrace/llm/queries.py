@@ -73,5 +73,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_license_scans": licences.oracle(),
         "op7_chat_formatting": chat.ORACLE,
+        "op9_url_filters": url_filter.oracle(),
         "op10_quality_rules": quality.ORACLE,
     }

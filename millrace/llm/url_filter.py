@@ -153,3 +153,46 @@ def judge(pages: DataFrame, rules: tuple = RULES, least_net: float = LEAST_NET,
     return ruled.select("page_id", "host", "path", "fit").join(net, "host", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), by_net).alias("verdict")
     )
+
+
+def oracle(rules: tuple = RULES) -> str:
+    """The same verdicts as DuckDB SQL."""
+    ranked = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ranked)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ranked)
+    return rf"""
+WITH RECURSIVE split AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages
+), ruled AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS said FROM split
+), seeds AS (
+  SELECT kind, host, seed / sum(seed) OVER (PARTITION BY kind) AS seed FROM (
+    SELECT 'trust' AS kind, host, count(*) FILTER (said = 'allow') / count(*) AS seed FROM ruled WHERE host <> '' GROUP BY host
+    UNION ALL
+    SELECT 'distrust', host, count(*) FILTER (said = 'block') / count(*) FROM ruled WHERE host <> '' GROUP BY host) WHERE seed > 0
+), links AS (
+  SELECT host AS source, translate(target, '{UPPER}', '{LOWER}') AS target, count(*)::DOUBLE AS weight
+  FROM (SELECT host, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{LINK}', 1))) AS target FROM split WHERE host <> '') GROUP BY ALL
+), hosts AS (SELECT host FROM split WHERE host <> '' UNION SELECT target FROM links
+), parents AS (SELECT host, regexp_extract(host, '^[^.]+\.([^.]+\.[^.]+.*)$', 1) AS up FROM hosts
+), edges AS (
+  SELECT source, target, sum(weight) AS weight FROM (
+    SELECT * FROM links WHERE source <> target
+    UNION ALL SELECT DISTINCT host, up, {HIERARCHY}::DOUBLE FROM parents WHERE up <> ''
+    UNION ALL SELECT DISTINCT up, host, {HIERARCHY}::DOUBLE FROM parents WHERE up <> '') GROUP BY ALL
+), moves AS (
+  SELECT kind, a, b, weight / sum(weight) OVER (PARTITION BY kind, a) AS share FROM (
+    SELECT 'trust' AS kind, source AS a, target AS b, weight FROM edges UNION ALL SELECT 'distrust', target, source, weight FROM edges)
+), steps AS (
+  SELECT * FROM moves UNION ALL SELECT kind, a, a, NULL FROM (SELECT kind, a FROM moves UNION SELECT kind, b FROM moves UNION SELECT kind, host FROM seeds)
+), state(round, kind, host, score, fresh) AS (
+  SELECT 0, kind, host, {1 - DAMPING} * seed, {1 - DAMPING} * seed FROM seeds
+  UNION ALL
+  SELECT round + 1, kind, b, sum(coalesce({DAMPING} * fresh * share, score)), sum(coalesce({DAMPING} * fresh * share, 0.0))
+  FROM (SELECT r.*, b, share FROM state r JOIN steps s ON s.kind = r.kind AND s.a = r.host)
+  WHERE round = 0 OR round % {CUT} <> 0 OR (SELECT max(x) FROM (SELECT sum(fresh) AS x FROM state GROUP BY kind)) * {DAMPING} / {1 - DAMPING} >= {TOLERANCE}
+  GROUP BY round, kind, b
+), net AS (
+  SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE -score END) AS net FROM state WHERE round = (SELECT max(round) FROM state) GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(net, 0.0) < {LEAST_NET} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN net USING (host)"""
