@@ -132,6 +132,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
     known = F.array(*rows)  # folded to one value
     short = F.array(*[r for r, (name, _) in zip(rows, sorted(templates.items())) if name in NOTICES] or [F.lit(None).cast("struct<low:int,high:int,rank:int,name:string,words:int,b:array<string>>")])
     every = sorted({g for x in templates.values() for g in bigrams_of(x)})
+    noted = sorted({g for n, x in templates.items() if n in NOTICES for g in bigrams_of(x)})
+    least = min((least_and_most(len(bigrams_of(x)), t)[0] for n, x in templates.items() if n in NOTICES), default=1)
     dice = lambda grams, x: 2.0 * F.size(F.array_intersect(grams, x["b"])) / (F.size(grams) + F.size(x["b"]))
 
     def scored(found: Column) -> Column:
@@ -151,8 +153,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, t: float = THRE
             starts = F.sequence(F.lit(1), F.size(words) - x["words"] + 1)
             return F.array_max(F.transform(starts, lambda i: let(_bigrams(F.slice(words, i, x["words"])), lambda g: dice(g, x))))
 
+        # few sentences hold as many of the notices' bigrams as the least of them needs
+        may_hold = F.size(F.filter(grams, lambda g: g.isin(noted))) >= least
         held = F.filter(short, lambda x: (F.size(grams) > x["high"]) & (F.size(words) > x["words"]) & (F.size(F.array_intersect(grams, x["b"])) >= x["low"]))
-        return scored(F.transform(held, lambda x: F.struct(top(x).alias("dice"), x["rank"].alias("rank"), x["name"].alias("name"))))
+        return F.when(may_hold, scored(F.transform(held, lambda x: F.struct(top(x).alias("dice"), x["rank"].alias("rank"), x["name"].alias("name")))))
 
     sentences = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, "\n\n+", "\u0001"), "\n", " "), r"([.!?;:])\s+", "$1\u0001"), "\u0001")
     sentences = F.array_distinct(F.transform(sentences, F.trim))
