@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import texts_of
 
 #: Bytes of a piece that are contracted one pair a round, and of the pieces in a query.
-SHORT, QUERY = 64, 500_000
+SHORT, QUERY = 64, 250_000
 #: Characters of a text read at once, and of the blocks encoded at once.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Pre-tokens that a worker remembers.
-CACHE = 700_000
+CACHE = 250_000
 #: Tokens in a row that is decoded.
 ROW = 4
 BASE = 1 << 32
@@ -123,7 +123,7 @@ class Codec:
                         if x == y:
                             twice.add(x)
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '500MB'")
+        self.db.execute("SET threads = 1; SET memory_limit = '300MB'")
         self._table("merges", pair=np.array(pairs, np.int64), id=np.array(whole, np.int64), twice=np.array([x in twice for x in whole], bool))
         self._table("lesser", pair=np.array(lesser, np.int64))
         # one character per byte; the last row fills up rows of ids

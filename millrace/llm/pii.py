@@ -32,7 +32,7 @@ WINDOW, STEP = 96, 48
 #: Characters between a window's start and its middle part of STEP characters.
 EDGE = (WINDOW - STEP) // 2
 #: Windows that are decoded at once.
-BATCH = 2048
+BATCH = 512
 HIDDEN, EMBED, SYMBOLS = 14, 12, 132
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -130,8 +130,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (time, batch, HIDDEN) of inputs (time, batch, EMBED), and what the gradient needs."""
+def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """Hidden states (time, batch, HIDDEN) of inputs (time, batch, EMBED), and what the gradient needs if asked to keep it."""
     h = c = np.zeros((x.shape[1], HIDDEN), x.dtype)
     out, kept = np.empty((*x.shape[:2], HIDDEN), x.dtype), []
     z = x @ wx + b
@@ -143,7 +143,8 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple
         before = c
         c = f * c + i * g
         th = np.tanh(c)
-        kept.append((i, f, o, g, before, th, h))
+        if keep:
+            kept.append((i, f, o, g, before, th, h))
         h = out[t] = o * th
     return out, kept
 
@@ -170,11 +171,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def emissions(p: dict, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Tag scores (time, batch, TAGS) of symbols (time, batch)."""
+def emissions(p: dict, ids: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """Tag scores (time, batch, TAGS) of symbols (time, batch), and what the gradient needs if asked to keep it."""
     x = p["embed"][ids]
-    a, ka = _lstm(x, p["wx0"], p["wh0"], p["b0"])
-    b, kb = _lstm(x[::-1], p["wx1"], p["wh1"], p["b1"])
+    a, ka = _lstm(x, p["wx0"], p["wh0"], p["b0"], keep)
+    b, kb = _lstm(x[::-1], p["wx1"], p["wh1"], p["b1"], keep)
     h = np.concatenate([a, b[::-1]], 2)
     return h @ p["out"] + p["bias"], (x, ka, kb, h)
 
@@ -234,7 +235,7 @@ def train(steps: int = 220, seed: int = 7, batch: int = 32) -> dict:
             for kind, a, b in spans:
                 tags[a:b, j] = 2 + 2 * kind
                 tags[a, j] = 1 + 2 * kind
-        e, (x, ka, kb, h) = emissions(p, ids)
+        e, (x, ka, kb, h) = emissions(p, ids, True)
         de, dt = _crf(e, p["trans"], tags)
         g = {"trans": dt, "out": np.einsum("tbh,tbk->hk", h, de), "bias": de.sum((0, 1))}
         dh = de @ p["out"].T
