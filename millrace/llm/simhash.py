@@ -82,8 +82,9 @@ def links(fps: DataFrame, small: int = SMALL_CELL) -> DataFrame:
     # the fingerprints lie in a few small files; each becomes 33 rows
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cells = fps.select("fp", _cells(F.col("fp")).alias("cell"))
+    # Spark sizes what follows an explode by the files before it, so no side of these joins may be chosen for a broadcast by size
     counts = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(cells.join(counts, "cell"))
+    met = materialise(cells.join(counts.hint("merge"), "cell"))
     few = (
         met.where(F.col("n") <= small)
         .groupBy("cell")
@@ -99,7 +100,7 @@ def links(fps: DataFrame, small: int = SMALL_CELL) -> DataFrame:
     )
     first = many.groupBy("variant").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     # a star per variant: members are within 2 bits of each other by way of it
-    star = many.join(first, "variant").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+    star = many.join(first.hint("merge"), "variant").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     return few.unionByName(star).distinct()
 
 
@@ -114,12 +115,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = materialise(fingerprints(docs))
     classes = materialise(held.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select("fp")))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    named = classes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(named.join(ids, "root").select("fp", "component_id"))
-    return held.join(named, "fp").select(
+    named = materialise(named.join(ids.hint("merge"), "root").select("fp", "component_id"))
+    return held.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -135,6 +136,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     held = materialise(fingerprints(rows, key))
     roots = components(links(materialise(held.select("fp").distinct()))).withColumnRenamed("node", "fp")
     first = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", key)).alias("first"))
-    keep = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias(key))
+    keep = first.join(roots.hint("merge"), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias(key))
     # the texts are shuffled once and not sorted, at every size
     return rows.join(keep.hint("shuffle_hash"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -154,3 +154,22 @@ def test_toxicity(spark):
     held = [r for r in rows if r["held_out"] and r["doc_id"] < 300]
     assert len(rows) == 300 + len(ODD) and len(held) > 40
     assert sum(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held) / len(held) > 0.9
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    from millrace.llm import simhash
+    from millrace.operators import graph
+
+    plans, held = [], simhash.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return held(df)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    monkeypatch.setattr(graph, "materialise", seen)
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3}") for i in range(9)], "doc_id long, text string")
+    found = simhash.near_duplicates(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len({r["component_id"] for r in found.collect()}) == 3
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
