@@ -45,3 +45,9 @@ def test_overlap(spark):
     ).first()
     assert tuple(got) == (0.5, 1.0, 0.0)
     assert one(spark, "<p>a</p><p>b&nbsp;&amp;lt;</p>", T.strip_tags) == "ab <"
+
+
+def test_extract_finds_keywords_that_blanking_makes(spark):
+    rows = spark.createDataFrame([(1, "mo ther thonther"), (2, "xther thonther"), (3, "bigravy boatboat"), (4, "gravy boat")], "id int, t string")
+    made = R.extract(rows, {"place": ["ther"], "sea": ["boat"]}, {"place": ["ther thon"], "sea": ["gravy boat"]}, "t").select("id", "category", "keywords_found")
+    assert sorted(map(tuple, made.collect())) == [(1, "place", "ther"), (2, "place", "ther"), (3, "sea", "boat")]
