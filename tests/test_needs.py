@@ -166,3 +166,20 @@ def test_density_topics(spark):
     assert density.clusters(rows.where("false"), "k", "p", 0.15).count() == 0
     flat = density.reduced(spark.createDataFrame([(i, [float(i), 1.0, 0.0]) for i in range(9)] + [(9, None)], "k long, v array<double>"), "k", "v", 2)
     assert flat.count() == 9 and len(flat.first()["point"]) == 2
+
+
+def test_terms_are_counted_where_rows_lie(spark):
+    rows = spark.createDataFrame([(i, ["red", "cat", "red"] if i % 2 else ["blue", "dog"]) for i in range(8)] + [(8, None), (9, [])], "id int, w array<string>")
+    plan = terms.row_counts(rows.select(F.col("id").alias("__key"), F.col("w").alias("__terms")))
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    packed, names = terms.vectors(rows, "id", "w", 1, 1.0, 3)
+    assert names == ["blue", "cat", "red"] and "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    # repeated keys are still one row of weights
+    twice = rows.unionByName(rows)
+    for most in (None, 10):
+        for table, times in ((rows, 1), (twice, 2)):
+            got = {(r["id"], r["term"]): r["weight"] for r in terms.tfidf(table, "id", "w", 1, 1.0, most).collect()}
+            n, df = 10 * times, 4
+            idf = math.log((1 + n) / (1 + df)) + 1
+            assert set(got) == {(i, t) for i in range(8) for t in (("red", "cat") if i % 2 else ("blue", "dog"))}
+            assert abs(got[1, "red"] - 2 / math.sqrt(5)) < 1e-12 and abs(got[0, "dog"] - 1 / math.sqrt(2)) < 1e-12 and idf > 0
