@@ -183,6 +183,9 @@ def test_terms_are_counted_where_rows_lie(spark):
             idf = math.log((1 + n) / (1 + df)) + 1
             assert set(got) == {(i, t) for i in range(8) for t in (("red", "cat") if i % 2 else ("blue", "dog"))}
             assert abs(got[1, "red"] - 2 / math.sqrt(5)) < 1e-12 and abs(got[0, "dog"] - 1 / math.sqrt(2)) < 1e-12 and idf > 0
+    pairs = spark.createDataFrame([(["a", "b", "a", "b"],)] * 3 + [(["c"],), ([],), (None,), (["b"],)], "w array<string>")
+    found = {(r["a"], r["b"]): r["score"] for r in terms.collocations(pairs, "w", 1, 0.0).collect()}
+    assert found == {("a", "b"): 5 * 3 / (6 * 7), ("b", "a"): 2 * 3 / (6 * 7)}
 
 
 def test_representatives_carry_no_texts_through_ranks(spark):
