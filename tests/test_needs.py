@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import english as E
-from millrace.operators import needs, terms, vectors
+from millrace.operators import lda, needs, terms, vectors
 from millrace.sources import files
 
 
@@ -194,3 +194,79 @@ def test_representatives_carry_no_texts_through_ranks(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 2 and not any("Window" in line and "review" in line for line in plan.splitlines())
     assert "Join LeftOuter" in plan and "review" not in plan.split("Window", 1)[1].split("Relation")[0]
+
+
+def lda_by_hand(docs, k, passes, seed):
+    """(topics of each document, weights by word) with one dense matrix, a document at a time."""
+    words = sorted({w for d in docs for w in d})
+    hashed = dict(zip(words, lda.word_hashes(lda.pa.array(words))))
+    lam = lda.starts(np.array([hashed[w] for w in words]), k, seed)
+    counts = [Counter(d) for d in docs]
+    with np.errstate(over="ignore"):
+        seeds = np.array([sum((hashed[w] * np.uint64(0x9E3779B97F4A7C15) for w in d), np.uint64(0)) for d in docs], np.uint64)
+    expected = lambda x: lda.digamma(x) - lda.digamma(x.sum(-1, keepdims=True))
+    alpha = np.full(k, 1 / k)
+
+    def pass_over(lam, seed):
+        beta, stat, gammas = np.exp(expected(lam.T).T), np.zeros_like(lam), np.zeros((len(docs), k))
+        for i, d in enumerate(counts):
+            if d:
+                at, n = [words.index(w) for w in d], np.array(list(d.values()), float)
+                gamma, moved = lda.starts(seeds[i : i + 1], k, seed)[0], 1.0
+                while moved > 1e-3:
+                    theta = np.exp(expected(gamma))
+                    new = theta * (beta[at].T @ (n / (beta[at] @ theta + 1e-100))) + alpha
+                    gamma, moved = new, np.abs(new - gamma).mean()
+                theta = np.exp(expected(gamma))
+                stat[at] += np.outer(n / (beta[at] @ theta + 1e-100), theta)
+                gammas[i] = gamma
+        return gammas, stat * beta
+
+    for step in range(1, passes + 1):
+        rho = (1024 + step) ** -0.51
+        gammas, stat = pass_over(lam, seed + step)
+        full = gammas[gammas[:, 0] > 0]
+        lam = (1 - rho) * lam + rho * (stat + 1 / k)
+        n = len(full)
+        grad = n * (expected(full).mean(0) - expected(alpha))
+        c, q = n * lda.trigamma(alpha.sum()), -n * lda.trigamma(alpha)
+        alpha = alpha - rho * (grad - (grad / q).sum() / (1 / c + (1 / q).sum())) / q
+    gammas = pass_over(lam, seed)[0]
+    return gammas / np.maximum(gammas.sum(1, keepdims=True), 1e-300), dict(zip(words, lam / lam.sum(0)))
+
+
+def test_lda_holds_no_words_on_the_driver(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(7)
+    texts = [["new", "york", "new", "york", "new"] + [f"w{x}" for x in rng.integers(0, 20, 8) + 15 * (i % 2)] for i in range(30)] + [["dog"], [], None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, w array<string>").repartition(3)
+    got_rows, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got_rows.append(collect(self)) or got_rows[-1])
+    for kind, name in ((CountVectorizer, "fit"), (SparkContext, "broadcast")):
+        monkeypatch.setattr(kind, name, lambda *_: pytest.fail("held by the driver"))
+    monkeypatch.setattr(lda, "BLOCK", 60)
+    monkeypatch.setattr(lda, "SHARD", 40)
+    monkeypatch.setattr(terms.phrase_pairs, "__defaults__", (5, 1.0))
+    out, words = terms.lda_with_words(rows, "w", 3, 4, seed=5)
+    assert all(len(x) <= 1 for x in got_rows)
+    got = {r["id"]: r for r in collect(out)}
+    joined = [[*(["new_york"] * 2), *t[4:]] if t and t[0] == "new" else t or [] for t in texts]
+    want, weights = lda_by_hand(joined, 3, 4, 5)
+    assert set(got) == set(range(33)) and got[31]["topics"] == got[32]["topics"] == [0.0] * 3 and got[31]["dominant_topic"] is got[32]["dominant_topic"] is None
+    assert all(np.abs(np.array(got[i]["topics"]) - want[i]).max() < 1e-3 and got[i]["w"] == texts[i] for i in range(33))
+    assert all(got[i]["dominant_topic"] == int(np.argmax(got[i]["topics"])) for i in range(31))
+    found = {(r["topic"], r["rank"]): r for r in collect(words)}
+    assert set(found) == {(t, n) for t in range(3) for n in range(1, 11)}
+    for t in range(3):
+        first = sorted(weights, key=lambda w: (-weights[w][t], w))[:10]
+        assert all(abs(found[t, n + 1]["weight"] - weights[w][t]) < 1e-4 for n, w in enumerate(first)) and found[t, 1]["word"] == first[0]
+
+
+def test_lda_of_the_words_of_most_occurrences(spark):
+    rows = spark.createDataFrame([(i, ["a", "b", "a", "d"] if i % 2 else ["a", "c", "b"]) for i in range(4)] + [(4, ["c"])], "id int, w array<string>")
+    out, words = terms.lda_with_words(rows, "w", 2, 1, 3)
+    assert {r["word"] for r in words.collect()} == {"a", "b", "c"} and out.where("dominant_topic IS NULL").count() == 0
+    assert terms.lda(rows.where("false"), "w", 2, 1).count() == 0
